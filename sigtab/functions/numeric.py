@@ -59,3 +59,10 @@ def x_number(df: DataFrame, name: str) -> Column:
 def numeric_columns(df: DataFrame) -> list[str]:
     kinds = {"double", "float", "integer", "long", "short", "byte", "decimal"}
     return [f.name for f in df.schema.fields if f.dataType.typeName().split("(")[0] in kinds]
+
+
+def keys(names) -> list[str]:
+    """A column name, a sequence of names or None as a list."""
+    if names is None:
+        return []
+    return [names] if isinstance(names, str) else list(names)

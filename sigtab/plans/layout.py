@@ -279,14 +279,19 @@ def with_index(df: DataFrame, by: list[str], order: list[str], name: str = "row_
     return lay.done(lay.scan({name: ("index",)}))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, named by ``spark.checkpoint.dir``; a temporary one only when unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where is None:
+        import tempfile
+
+        where = tempfile.mkdtemp(prefix="sigtab-")
+    return where
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder the cluster names; a temporary one only when unset."""
+    """A reliable checkpoint in the shared folder, so long loops do not replay their history."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="sigtab-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
