@@ -1 +1 @@
-from catalog import tables  # noqa: F401
+from catalog import describe, inference, tables  # noqa: F401
