@@ -342,7 +342,7 @@ def t11(t):
     return p_adjusted(t, "holm")
 
 
-@query("t11_bh", P_SQL.format(f="min(p * k / i) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"), floats="p_adjusted")
+@query("t11_bh", P_SQL.format(f="min(p * k / i) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"), floats="p_adjusted", digits=12)
 def t11b(t):
     return p_adjusted(t, "fdr_bh")
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sigtab.functions.numeric import div, finite, keys
 from sigtab.functions.tails import chi2_sf, f_sf, f_tail, norm_cdf, norm_ppf, t_ppf, t_sf
+from sigtab.operators.distributions import ranked_values
 from sigtab.plans.layout import join_by, lay_out, with_stats, with_table
 from sigtab.plans.normeq import map_rows, number
 from sigtab.plans.quantile import medians, mid_ranks
@@ -398,31 +399,16 @@ def shapiro_wilk(df: DataFrame, value: str, by=None) -> DataFrame:
     long runs cut into blocks that are spread over tasks.
     """
     by = keys(by)
-    x = finite(value)
-    rows = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
-    counts = with_stats(rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")), by,
-                        {"_n": F.sum("_c"), "_mean": F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")})
-    counts = counts.filter("_n >= 3")
-    lay = lay_out(counts, by, ["_x"])
-    runs = lay.done(lay.scan({"_cum": ("sum", "_c")}))
-    block = 65_536
-    blocks = runs.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") - 1) / block))))
-    first = F.col("_cum") - F.col("_c") + 1 + F.col("_k") * block
-    blocks = blocks.withColumn("_from", first).withColumn("_to", F.least(first + block - 1, F.col("_cum")))
-    if not lay.split:
-        ranks = blocks
-    else:
-        ranks = blocks.repartition(*by, "_from") if by else blocks.repartition("_from")
-    scored = ranks.withColumn("_i", F.explode(F.sequence("_from", "_to"))).withColumn(
-        "_m", norm_ppf((F.col("_i") - 0.375) / (F.col("_n") + 0.25)))
-    d = F.col("_x") - F.col("_mean")
-    edge = lambda i: F.max(F.when(F.col("_i") == i, d))
+    ranked = with_table(ranked_values(df, value, by).filter("n >= 3"), df.groupBy(*by).agg(F.avg(finite(value)).alias("_mean")), by)
+    scored = ranked.withColumn("_m", norm_ppf((F.col("i") - 0.375) / (F.col("n") + 0.25)))
+    d = F.col("value") - F.col("_mean")
+    edge = lambda i: F.max(F.when(F.col("i") == i, d))
     m = scored.groupBy(*by).agg(
-        F.first("_n").cast("double").alias("n"), F.sum(F.col("_m") * F.col("_m")).alias("mm"),
+        F.first("n").cast("double").alias("n"), F.sum(F.col("_m") * F.col("_m")).alias("mm"),
         F.sum(F.col("_m") * d).alias("mx"), F.sum(d * d).alias("ss"),
-        edge(F.lit(1)).alias("x1"), edge(F.lit(2)).alias("x2"), edge(F.col("_n")).alias("xn"),
-        edge(F.col("_n") - 1).alias("xn1"), F.max("_m").alias("m1"),
-        F.max(F.when(F.col("_i") == F.col("_n") - 1, F.col("_m"))).alias("m2"))
+        edge(F.lit(1)).alias("x1"), edge(F.lit(2)).alias("x2"), edge(F.col("n")).alias("xn"),
+        edge(F.col("n") - 1).alias("xn1"), F.max("_m").alias("m1"),
+        F.max(F.when(F.col("i") == F.col("n") - 1, F.col("_m"))).alias("m2"))
 
     def solve(r):
         n, mm = r["n"], r["mm"]
