@@ -1 +1 @@
-from catalog import describe, distributions, inference, peaks, tables  # noqa: F401
+from catalog import describe, distributions, inference, peaks, signals, tables  # noqa: F401

@@ -181,13 +181,13 @@ def k8(t):
 
 
 @query("k9_raman", """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_retailprice >= 1020 ORDER BY p_size DESC, p_retailprice) AS i FROM part
-           WHERE p_retailprice BETWEEN 950 AND 1000 OR p_retailprice BETWEEN 1020 AND 1080)
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_retailprice >= 945 ORDER BY p_size DESC, p_retailprice) AS i FROM part
+           WHERE p_retailprice BETWEEN 910 AND 940 OR p_retailprice BETWEEN 950 AND 990)
 SELECT d.p_brand, d.p_retailprice AS d_position, d.p_size::DOUBLE AS d_intensity, g.p_retailprice AS g_position, g.p_size::DOUBLE AS g_intensity, d.p_size / g.p_size AS id_ig
-FROM r d JOIN r g ON d.p_brand = g.p_brand AND d.i = 1 AND g.i = 1 AND d.p_retailprice < 1020 AND g.p_retailprice >= 1020
+FROM r d JOIN r g ON d.p_brand = g.p_brand AND d.i = 1 AND g.i = 1 AND d.p_retailprice < 945 AND g.p_retailprice >= 945
 """, floats="d_position d_intensity g_position g_intensity id_ig")
 def k9(t):
-    return peaks.raman_ratio(t.part, "p_retailprice", "p_size", "p_brand", (950, 1000), (1020, 1080))
+    return peaks.raman_ratio(t.part, "p_retailprice", "p_size", "p_brand", (910, 940), (950, 990))
 
 
 @query("k10_thermal", """

@@ -3,81 +3,99 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sigtab.functions.expressions import Compiler
 from sigtab.functions.numeric import as_col
 
-LN2 = math.log(2.0)
+LEAST_WIDTH = 1e-12
 
 
-def line(x, slope, intercept):
-    return slope * as_col(x) + intercept
+def _c(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
 
 
-def polynomial(x, coefficients: list) -> Column:
-    """Coefficients from the constant term upwards, evaluated by Horner's rule."""
-    x = as_col(x)
-    out = F.lit(0.0) * x
-    for c in reversed(coefficients):
-        out = out * x + c
-    return out
+def _width(value) -> Column:
+    return F.greatest(F.abs(_c(value)), F.lit(LEAST_WIDTH))
 
 
-def gaussian(x, amplitude, center, sigma):
-    z = (as_col(x) - center) / sigma
-    return amplitude * F.exp(F.lit(-0.5) * z * z)
+def _exp(value: Column) -> Column:
+    return F.exp(F.least(F.greatest(value, F.lit(-700.0)), F.lit(700.0)))
 
 
-def lorentzian(x, amplitude, center, gamma):
-    z = (as_col(x) - center) / gamma
-    return amplitude / (F.lit(1.0) + z * z)
+def gaussian(x, amplitude, center, sigma, offset=0.0) -> Column:
+    z = (as_col(x) - _c(center)) / _width(sigma)
+    return _c(amplitude) * _exp(-0.5 * z * z) + _c(offset)
 
 
-def pseudo_voigt(x, amplitude, center, fwhm, mixing):
-    """Weighted sum of a lorentzian and a gaussian that share one full width."""
-    u = (as_col(x) - center) / fwhm
-    u = u * u
-    return amplitude * (
-        mixing / (F.lit(1.0) + F.lit(4.0) * u) + (F.lit(1.0) - mixing) * F.exp(F.lit(-4.0 * LN2) * u)
-    )
+def lorentzian(x, amplitude, center, gamma, offset=0.0) -> Column:
+    z = (as_col(x) - _c(center)) / _width(gamma)
+    return _c(amplitude) / (1 + z * z) + _c(offset)
 
 
-def logistic(x, top, rate, mid):
-    return top / (F.lit(1.0) + F.exp(-rate * (as_col(x) - mid)))
+# Mixing share of the lorentzian as a polynomial of the ratio of both full widths.
+MIXING = (1.36603, -0.47719, 0.11116)
 
 
-def exponential(x, amplitude, rate, offset):
-    return amplitude * F.exp(rate * as_col(x)) + offset
+def voigt(x, amplitude, center, sigma, gamma, offset=0.0) -> Column:
+    """Pseudo-Voigt: a gaussian and a lorentzian of one centre, mixed by the ratio of their widths."""
+    r = 2 * _width(gamma) / (_width(sigma) * (2 * math.sqrt(2 * math.log(2))) + LEAST_WIDTH)
+    share = F.least(F.greatest(r * (MIXING[0] + r * (MIXING[1] + r * MIXING[2])), F.lit(0.0)), F.lit(1.0))
+    return _c(amplitude) * (share * lorentzian(x, 1.0, center, gamma) + (1 - share) * gaussian(x, 1.0, center, sigma)) + _c(offset)
 
 
-def decay(x, amplitude, tau, offset):
-    return amplitude * F.exp(-as_col(x) / tau) + offset
+def logistic(x, top, rate, mid, offset=0.0) -> Column:
+    return _c(top) / (1 + _exp(-_c(rate) * (as_col(x) - _c(mid)))) + _c(offset)
 
 
-def double_decay(x, a1, tau1, a2, tau2, offset):
-    return a1 * F.exp(-as_col(x) / tau1) + a2 * F.exp(-as_col(x) / tau2) + offset
+def exponential(x, amplitude, rate, offset=0.0) -> Column:
+    return _c(amplitude) * _exp(_c(rate) * as_col(x)) + _c(offset)
 
 
-def power_law(x, a, b, c):
-    return a * F.pow(as_col(x), b) + c
+def decay(x, amplitude, tau, offset=0.0) -> Column:
+    return _c(amplitude) * _exp(-as_col(x) / _width(tau)) + _c(offset)
 
 
-def sine(x, amplitude, frequency, phase, offset):
-    return amplitude * F.sin(F.lit(2 * math.pi) * frequency * as_col(x) + phase) + offset
+def double_decay(x, amplitude1, tau1, amplitude2, tau2, offset=0.0) -> Column:
+    return decay(x, amplitude1, tau1) + decay(x, amplitude2, tau2, offset)
+
+
+def power_law(x, amplitude, exponent, offset=0.0) -> Column:
+    return _c(amplitude) * F.pow(as_col(x), _c(exponent)) + _c(offset)
+
+
+def sine(x, amplitude, omega, phase, offset=0.0) -> Column:
+    return _c(amplitude) * F.sin(_c(omega) * as_col(x) + _c(phase)) + _c(offset)
 
 
 # name -> (builder, parameter names)
-MODELS = {
-    "line": (line, ["slope", "intercept"]),
-    "gaussian": (gaussian, ["amplitude", "center", "sigma"]),
-    "lorentzian": (lorentzian, ["amplitude", "center", "gamma"]),
-    "pseudo_voigt": (pseudo_voigt, ["amplitude", "center", "fwhm", "mixing"]),
-    "logistic": (logistic, ["top", "rate", "mid"]),
+MODELS: dict[str, tuple[Callable, list[str]]] = {
+    "gaussian": (gaussian, ["amplitude", "center", "sigma", "offset"]),
+    "lorentzian": (lorentzian, ["amplitude", "center", "gamma", "offset"]),
+    "voigt": (voigt, ["amplitude", "center", "sigma", "gamma", "offset"]),
+    "logistic": (logistic, ["top", "rate", "mid", "offset"]),
     "exponential": (exponential, ["amplitude", "rate", "offset"]),
     "exp1": (decay, ["amplitude", "tau", "offset"]),
-    "exp2": (double_decay, ["a1", "tau1", "a2", "tau2", "offset"]),
-    "power": (power_law, ["a", "b", "c"]),
-    "sine": (sine, ["amplitude", "frequency", "phase", "offset"]),
+    "exp2": (double_decay, ["amplitude1", "tau1", "amplitude2", "tau2", "offset"]),
+    "power": (power_law, ["amplitude", "exponent", "offset"]),
+    "sine": (sine, ["amplitude", "omega", "phase", "offset"]),
 }
+
+
+def from_formula(formula: str, x: str, parameters: list[str]) -> Callable:
+    """A model from formula text over ``x`` and named parameters."""
+    def build(column, *values):
+        known = {x: as_col(column), **{p: _c(v) for p, v in zip(parameters, values)}}
+
+        def lookup(name: str) -> Column:
+            if name not in known:
+                raise KeyError(f"unknown name in a model: {name}")
+            return known[name]
+
+        return Compiler(lookup).compile(formula)
+
+    build(F.lit(1.0), *[1.0] * len(parameters))
+    return build

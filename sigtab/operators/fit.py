@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigtab.functions.numeric import add_all, as_col, div, finite, keys, x_number
 from sigtab.functions.tails import chi2_sf, t_point, t_tail, f_tail
 from sigtab.operators import derive
-from sigtab.plans.layout import frame, lay_out, with_stats, with_table
+from sigtab.plans.layout import cut_lineage, frame, lay_out, with_stats, with_table
 from sigtab.plans.normeq import gram, map_rows, number, numbers, polynomial_table, quadratic_form, unpack, with_polynomial
 
 BOLTZMANN_EV = 8.617333262145e-5  # fixed value, eV per kelvin
@@ -260,7 +260,7 @@ def row_diagnostics(df: DataFrame, predictors: list[str], response: str, by=None
 def residual_tests(df: DataFrame, predictors: list[str], response: str, order, by=None) -> DataFrame:
     """Durbin-Watson along ``order``, Breusch-Pagan with its p-value, largest leverage and Cook's distance."""
     by, order = keys(by), keys(order)
-    rows = row_diagnostics(df, predictors, response, by)
+    rows = cut_lineage(row_diagnostics(df, predictors, response, by))
     fr = frame(rows, by, order, 1, 0)
     step = F.col("residual") - F.lag("residual").over(fr.window())
     rows = fr.own(fr.df.withColumn("_step", step))

@@ -219,32 +219,32 @@ def detect_peaks(df: DataFrame, x: str, y: str, by=None, baseline: str = "linear
     by = keys(by)
     fixed = remove_baseline(df, x, y, baseline, by, "_cor", direction, **options)
     sig = {"positive": F.col("_cor"), "negative": -F.col("_cor"), "both": F.abs("_cor")}[direction]
-    rows = fixed.filter(finite("_cor").isNotNull()).select(*by, x_number(df, x).alias("x"), finite(y).alias("y"), sig.alias("s"))
-    rows = cut_lineage(with_index(rows.withColumn("_h", F.xxhash64("x", "y", "s")), by, ["x", "_h"], "i").drop("_h"))
+    rows = fixed.filter(finite("_cor").isNotNull()).select(*by, x_number(df, x).alias("x"), finite(y).alias("y"), sig.alias("_sg"))
+    rows = cut_lineage(with_index(rows.withColumn("_h", F.xxhash64("x", "y", "_sg")), by, ["x", "_h"], "i").drop("_h"))
     fr = frame(rows, by, ["i"], 1, 0)
-    fresh = F.when(F.col("s") == F.lag("s").over(fr.window()), F.lit(0)).otherwise(F.lit(1))
+    fresh = F.when(F.col("_sg") == F.lag("_sg").over(fr.window()), F.lit(0)).otherwise(F.lit(1))
     lay = lay_out(fr.own(fr.df.withColumn("_new", fresh)), by, ["i"])
     runs = lay.done(lay.scan({"_run": ("sum", "_new")})).groupBy(*by, "_run").agg(
-        F.min("i").alias("_a"), F.max("i").alias("_z"), F.first("s").alias("s"))
+        F.min("i").alias("_a"), F.max("i").alias("_z"), F.first("_sg").alias("_sg"))
     fr = frame(runs, by, ["_run"], 1, 1)
     w = fr.window()
-    top = (F.col("s") > F.lag("s").over(w)) & (F.col("s") > F.lead("s").over(w))
+    top = (F.col("_sg") > F.lag("_sg").over(w)) & (F.col("_sg") > F.lead("_sg").over(w))
     peaks = fr.own(fr.df.withColumn("_top", top)).filter("_top").select(
-        *by, F.floor((F.col("_a") + F.col("_z")) / 2).cast("bigint").alias("i"), "_a", "_z", "s")
+        *by, F.floor((F.col("_a") + F.col("_z")) / 2).cast("bigint").alias("i"), "_a", "_z", "_sg")
     if height is not None:
-        peaks = peaks.filter(F.col("s") >= height)
+        peaks = peaks.filter(F.col("_sg") >= height)
     if distance is not None:
-        peaks = keep_spaced(peaks, by, "i", "s", distance - 1)
-    asks = peaks.select(*by, "i", F.col("i").alias("at"), F.col("s").alias("level"))
+        peaks = keep_spaced(peaks, by, "i", "_sg", distance - 1)
+    asks = peaks.select(*by, "i", F.col("i").alias("at"), F.col("_sg").alias("level"))
     low = None
     for side in ("left", "right"):
-        got = nearest_crossing(rows, by, "i", "s", asks, "i", strict=True, side=side).select(*by, "i", F.col("span_min").alias(side))
+        got = nearest_crossing(rows, by, "i", "_sg", asks, "i", strict=True, side=side).select(*by, "i", F.col("span_min").alias(side))
         low = got if low is None else join_by(low, got, by + ["i"])
     peaks = join_by(peaks, low, by + ["i"])
-    base = F.greatest(F.least("left", "s"), F.least("right", "s"))
-    peaks = peaks.withColumn("prominence", F.col("s") - base).drop("left", "right")
+    base = F.greatest(F.least("left", "_sg"), F.least("right", "_sg"))
+    peaks = peaks.withColumn("prominence", F.col("_sg") - base).drop("left", "right")
     if prominence is None:
-        peaks = with_table(peaks, default_prominence(rows, by, "s", "i"), by).filter("prominence >= min_prominence").drop("min_prominence")
+        peaks = with_table(peaks, default_prominence(rows, by, "_sg", "i"), by).filter("prominence >= min_prominence").drop("min_prominence")
     else:
         peaks = peaks.filter(F.col("prominence") >= prominence)
     if width is not None:
@@ -252,21 +252,21 @@ def detect_peaks(df: DataFrame, x: str, y: str, by=None, baseline: str = "linear
     if max_peaks is not None:
         ranked = lay_out(peaks.withColumn("_neg", -F.col("prominence")), by, ["_neg", "i"])
         peaks = ranked.done(ranked.scan({"_k": ("index",)})).filter(F.col("_k") < max_peaks).drop("_k", "_neg")
-    out = join_by(peaks.withColumnRenamed("s", "height"), rows.select(*by, "i", "x", "y"), by + ["i"])
+    out = join_by(peaks.withColumnRenamed("_sg", "height"), rows.select(*by, "i", "x", "y"), by + ["i"])
     return out.select(*by, "i", "x", "y", "height", "prominence", *(["width"] if width is not None else []))
 
 
 def _peak_widths(rows: DataFrame, peaks: DataFrame, by: list[str]) -> DataFrame:
     """Width in rows at half prominence, with interpolated crossings."""
-    level = F.col("s") - F.col("prominence") / 2
+    level = F.col("_sg") - F.col("prominence") / 2
     asks = peaks.select(*by, "i", F.col("i").alias("at"), (-level).alias("level"))
-    sink = rows.select(*by, "i", (-F.col("s")).alias("v"))
+    sink = rows.select(*by, "i", (-F.col("_sg")).alias("v"))
     out = peaks.withColumn("_l", level)
     for side, step in (("left", 1), ("right", -1)):
         got = nearest_crossing(sink, by, "i", "v", asks, "i", strict=False, side=side).select(*by, "i", F.col("found").alias("_f"))
         out = join_by(out, got, by + ["i"])
-        at = rows.select(*by, F.col("i").alias("_f"), F.col("s").alias("_s0"))
-        inner = rows.select(*by, (F.col("i") - step).alias("_f"), F.col("s").alias("_s1"))
+        at = rows.select(*by, F.col("i").alias("_f"), F.col("_sg").alias("_s0"))
+        inner = rows.select(*by, (F.col("i") - step).alias("_f"), F.col("_sg").alias("_s1"))
         out = join_by(join_by(out, at, by + ["_f"]), inner, by + ["_f"])
         share = F.when(F.col("_s0") < F.col("_l"), div(F.col("_l") - F.col("_s0"), F.col("_s1") - F.col("_s0"))).otherwise(F.lit(0.0))
         out = out.withColumn(f"_{side}", F.col("_f") + step * share).drop("_f", "_s0", "_s1")

@@ -46,9 +46,9 @@ def with_stats(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFra
     """
     if not by:
         one = df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("s"))
-        return df.withColumn("_s", one.scalar()).select(
-            "*", *[F.col(f"_s.{k}").alias(k) for k in aggs]
-        ).drop("_s")
+        return df.withColumn("_stats_row", one.scalar()).select(
+            "*", *[F.col(f"_stats_row.{k}").alias(k) for k in aggs]
+        ).drop("_stats_row")
     return join_by(df, df.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()]), by)
 
 
@@ -58,9 +58,9 @@ def with_table(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
         return join_by(df, table, by)
     names = table.columns
     one = table.select(F.struct(*names).alias("s"))
-    return df.withColumn("_s", one.scalar()).select(
-        "*", *[F.col(f"_s.{k}").alias(k) for k in names]
-    ).drop("_s")
+    return df.withColumn("_stats_row", one.scalar()).select(
+        "*", *[F.col(f"_stats_row.{k}").alias(k) for k in names]
+    ).drop("_stats_row")
 
 
 def _key_field(df: DataFrame, name: str) -> tuple[Column, str]:

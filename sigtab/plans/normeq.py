@@ -82,18 +82,18 @@ def polynomial_table(df: DataFrame, x: Column, y: Column, degree: int, by: list[
         powers.append(powers[-1] * F.col("_t"))
     sums = rows.withColumns({"_t": t, "_v": v}).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.first("mid").alias("mid"), F.first("half").alias("half"),
-        F.first("y0").alias("y0"), F.array(*[F.sum(p) for p in powers]).alias("s"),
-        F.array(*[F.sum(p * F.col("_v")) for p in powers[: degree + 1]]).alias("q"),
-        F.sum(F.col("_v") * F.col("_v")).alias("yy"))
+        F.first("y0").alias("y0"), F.array(*[F.sum(p) for p in powers]).alias("_ps"),
+        F.array(*[F.sum(p * F.col("_v")) for p in powers[: degree + 1]]).alias("_pq"),
+        F.sum(F.col("_v") * F.col("_v")).alias("_pyy"))
 
     def solve(row):
         n, d = int(row["n"]), degree + 1
         if n < d or (degree and not row["half"] > 0):
             return None, None, None, None
-        s, q = np.asarray(row["s"]), np.asarray(row["q"])
+        s, q = np.asarray(row["_ps"]), np.asarray(row["_pq"])
         m = s[np.add.outer(np.arange(d), np.arange(d))]
         c = np.linalg.lstsq(m, q, rcond=None)[0]
-        sse = max(0.0, row["yy"] - 2 * c @ q + c @ m @ c)
+        sse = max(0.0, row["_pyy"] - 2 * c @ q + c @ m @ c)
         c = c.copy()
         c[0] += row["y0"]
         half = row["half"] or 1.0
@@ -103,7 +103,7 @@ def polynomial_table(df: DataFrame, x: Column, y: Column, degree: int, by: list[
             raw = raw * step + value
         flat = np.zeros(d)
         flat[: len(raw.coeffs)] = raw.coeffs[::-1]
-        r2 = 1.0 if row["yy"] == 0 else 1 - sse / row["yy"]
+        r2 = 1.0 if row["_pyy"] == 0 else 1 - sse / row["_pyy"]
         return c.tolist(), flat.tolist(), float(r2), float(np.sqrt(sse / n))
 
     return map_rows(sums, by, solve, [numbers("scaled"), numbers("coefficients"), number("r_squared"), number("rmse")],
