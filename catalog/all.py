@@ -1 +1 @@
-from catalog import describe, distributions, inference, matrices, peaks, signals, tables  # noqa: F401
+from catalog import describe, distributions, inference, matrices, models, peaks, signals, tables  # noqa: F401
