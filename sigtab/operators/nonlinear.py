@@ -124,7 +124,10 @@ def rc_time_constant(df: DataFrame, time: str, value: str, mode: str = "charge",
     sign = -1.0 if mode == "charge" else 1.0
     t = rows.groupBy(*by).agg(F.max("x").alias("span"), F.min_by("y", "x").alias("y0"), F.max_by("y", "x").alias("y1"))
     eps = float(np.finfo(float).eps)
-    start = t.select(*by, F.array("y1", F.greatest(F.abs(F.col("y1") - F.col("y0")), F.lit(eps)), F.greatest(F.col("span") / 3, F.lit(eps))).alias("p"))
+    most = F.abs(F.col("y") - F.col("y0")) >= (1 - math.exp(-1)) * F.abs(F.col("y1") - F.col("y0"))
+    first = with_table(rows, t, by).groupBy(*by).agg(F.min(F.when(most & (F.col("x") > 0), F.col("x"))).alias("_t1"))
+    start = with_table(t, first, by).select(*by, F.array(
+        "y1", F.greatest(F.abs(F.col("y1") - F.col("y0")), F.lit(eps)), F.greatest(F.coalesce("_t1", F.col("span") / 3), F.lit(eps))).alias("p"))
     totals = rows.groupBy(*by).agg((F.var_pop("y") * F.count("y")).alias("tss"))
     got = lm.fit(rows, by, F.col("y"), lambda p: p[0] + sign * decay(F.col("x"), p[1], p[2]), ["yinf", "amp", "tau"], start,
                  {"amp": 0.0, "tau": eps})
@@ -163,7 +166,7 @@ def global_fit(df: DataFrame, dataset: str, x: str, y: str, model: str, shared:
     first = np.clip(np.array([float(start[c]) for c in names]), low, high)
     trial = cut_lineage(rows.select(*by).distinct().withColumn("_t", F.array(*[F.lit(float(v)) for v in first])))
     few = trial.count() <= lm.BROADCAST_SERIES
-    best, total, lam, calm = None, math.inf, 1e-3, False
+    best, total, lam = None, math.inf, 1e-3
 
     def blocks(r):
         """Shared system after eliminating the local block: (matrix, vector) flattened."""
@@ -184,16 +187,13 @@ def global_fit(df: DataFrame, dataset: str, x: str, y: str, model: str, shared:
         got = cut_lineage(join_by(trial, got, by))
         tot = got.agg(F.sum("cost").alias("c"), F.sum(F.col("n") - F.col("valid")).alias("bad")).first()
         cost = tot["c"] if tot["c"] is not None and math.isfinite(tot["c"]) and not tot["bad"] else math.inf
-        if cost <= total:
-            calm = total - cost <= 1e-13 * max(cost, 1e-300) and lam <= 1e-2
+        settled = best is not None and abs(total - cost) <= 1e-10 * total
+        better = cost <= total
+        if better:
             best, total = got, cost
-            lam = max(lam * 0.1, 1e-12)
-            if calm or cost == 0:
-                break
-        else:
-            lam *= 8
-            if lam > 1e12:
-                break
+        lam = max(lam * 0.1, 1e-12) if better else lam * 8
+        if settled or total == 0 or lam > 1e12:
+            break
         if best is None:
             raise ValueError("the model cannot be evaluated at the start values")
         delta = np.zeros(k)

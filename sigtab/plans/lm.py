@@ -66,13 +66,16 @@ def damped_step(xx: np.ndarray, xy: np.ndarray, at: np.ndarray, lam: float, lowe
         d[d <= 0] = max(d.max(initial=0.0), 1.0) * 1e-12
         s = 1 / np.sqrt(d)
         m = a * np.outer(s, s) + lam * np.eye(len(use))
-        out[use] += s * np.linalg.lstsq(m, s * xy[use], rcond=None)[0]
-    return np.clip(out, lower, upper)
+        step = s * np.linalg.lstsq(m, s * xy[use], rcond=None)[0]
+        # a bound is approached by nine tenths of the way per step, so one long step cannot land on it
+        out[use] += np.clip(step, 0.9 * (lower[use] - at[use]), 0.9 * (upper[use] - at[use]))
+    near = 1e-10 * (np.abs(out) + 1e-10)
+    return np.where(out - lower <= near, lower, np.where(upper - out <= near, upper, out))
 
 
 def fit(rows: DataFrame, by: list[str], y: Column, model: Callable[[list[Column]], Column], names: list[str], start: DataFrame,
         lower: dict | None = None, upper: dict | None = None, scale: Column | None = None, loss: str = "linear",
-        loss_scale: float = 1.0, iterations: int = 60, tolerance: float = 1e-12) -> DataFrame:
+        loss_scale: float = 1.0, iterations: int = 60, tolerance: float = 1e-13) -> DataFrame:
     """Best parameters per series: ``by, p, n, cost, sse, xx, converged``.
 
     ``start`` holds one row per series with the array ``p`` and, optionally, the array ``free``
@@ -104,9 +107,7 @@ def fit(rows: DataFrame, by: list[str], y: Column, model: Callable[[list[Column]
             return (r["t"], r["free"], at, cost, sse, n, xx, xy, lam, 1.0)
         done = 0.0
         if ok and (first or new <= cost):
-            gain = np.inf if first else cost - new
-            if gain <= tolerance * max(new, 1e-300) and lam <= 1e-2 or new == 0:
-                done = 1.0
+            done = float(new == 0)
             at, cost, sse, n, xx, xy = r["t"], new, r["new_sse"], float(r["new_n"]), r["new_xx"], r["new_xy"]
             lam = lam if first else max(lam * 0.1, 1e-12)
         else:
@@ -115,8 +116,9 @@ def fit(rows: DataFrame, by: list[str], y: Column, model: Callable[[list[Column]
                 done = 1.0
         at, full = np.asarray(at, float), unpack(xx, p)
         trial = damped_step(full, np.asarray(xy), at, lam, low, high, free)
-        if np.all(np.abs(trial - at) <= 1e-14 * (np.abs(at) + 1e-14)):
-            done = 1.0
+        d = trial - at
+        if 2 * d @ np.asarray(xy) - d @ full @ d <= tolerance * cost:
+            done, at = 1.0, trial  # the step promises no worthwhile decrease
         return (trial.tolist(), r["free"], at.tolist(), cost, sse, n, list(xx), list(xy), lam, done)
 
     for _ in range(iterations):
