@@ -255,15 +255,18 @@ def fit_peaks(df: DataFrame, x: str, y: str, by=None, model: str = "gaussian", b
     """
     by = keys(by)
     shape, to_fwhm, to_area = SHAPES[model]
+    both = detection.get("direction", "positive") != "positive"
     found = cut_lineage(pk.detect_peaks(df, x, y, by, baseline, max_peaks=max_peaks, **detection))
-    work = pk.remove_baseline(df, x, y, baseline, by, "_cor")
+    work = pk.remove_baseline(df, x, y, baseline, by, "_cor", detection.get("direction", "positive"))
     rows = cut_lineage(work.select(*by, x_number(df, x).alias("x"), finite("_cor").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL"))
-    span = rows.groupBy(*by).agg((F.max("x") - F.min("x")).alias("_span"))
+    span = rows.groupBy(*by).agg((F.max("x") - F.min("x")).alias("_span"), ((F.max("x") + F.min("x")) / 2).alias("_mid"))
+    # positions are fitted in units of the spectrum's span around its middle, so one set of bounds serves all
+    unit = (F.col("x") - F.col("_mid")) / F.when(F.col("_span") > 0, F.col("_span")).otherwise(F.lit(1.0))
     lay = lay_out(found, by, ["x", "i"])
     placed = lay.done(lay.scan({"peak": ("index",)}))
-    width = F.first("_span") / F.greatest(F.lit(8.0), 3.0 * F.count(F.lit(1))) / to_fwhm
-    many = with_table(placed, span, by).groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("peak", F.col("height").alias("h"), "x"))).alias("_k"), width.alias("_w"), F.first("_span").alias("_span"))
+    width = F.lit(1.0) / F.greatest(F.lit(8.0), 3.0 * F.count(F.lit(1))) / to_fwhm
+    many = with_table(placed, span, by).withColumn("x", unit).groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("peak", F.col("height").alias("h"), "x"))).alias("_k"), width.alias("_w"))
     cells, free = [], []
     for i in range(max_peaks):
         one = F.get("_k", F.lit(i))
@@ -273,13 +276,16 @@ def fit_peaks(df: DataFrame, x: str, y: str, by=None, model: str = "gaussian", b
     start = many.select(*by, F.array(*cells).alias("p"), F.array(*free).alias("free"))
     names = [f"{c}{i}" for i in range(max_peaks) for c in ("height", "center", "width")]
     fitted_rows = join_by(rows, start.select(*by), by, "inner") if by else rows
+    fitted_rows = with_table(fitted_rows, span, by).withColumn("x", unit).select(*by, "x", "y")
     if not by and found.isEmpty():
         return rows.agg(F.lit("no peaks").alias("status"))
     curve = lambda p: add_all([shape(F.col("x"), p[3 * i], p[3 * i + 1], p[3 * i + 2]) for i in range(max_peaks)])
-    got = lm.fit(fitted_rows, by, F.col("y"), curve, names, start, {f"width{i}": 1e-12 for i in range(max_peaks)}, iterations=iterations)
+    got = lm.fit(fitted_rows, by, F.col("y"), curve, names, start,
+                 {f"{c}{i}": v for i in range(max_peaks) for c, v in (("width", 1e-6), ("center", -0.5), *(() if both else (("height", 0.0),)))},
+                 {f"{c}{i}": v for i in range(max_peaks) for c, v in (("width", 1.0), ("center", 0.5))}, iterations=iterations)
     totals = fitted_rows.groupBy(*by).agg((F.var_pop("y") * F.count("y")).alias("tss"))
     table = lm.finish(got, by, names, totals)
-    flags = with_table(table, start.select(*by, "free"), by)
+    flags = with_table(with_table(table, start.select(*by, "free"), by), span, by)
 
     def measure(r):
         out = []
@@ -291,8 +297,10 @@ def fit_peaks(df: DataFrame, x: str, y: str, by=None, model: str = "gaussian", b
         for i in range(max_peaks):
             if not r["free"][3 * i]:
                 continue
-            h, c, w = p[3 * i: 3 * i + 3]
-            sub = cov[3 * i: 3 * i + 3, 3 * i: 3 * i + 3]
+            scale = np.array([1.0, r["_span"], r["_span"]])
+            h, c, w = p[3 * i: 3 * i + 3] * scale
+            c = c + r["_mid"]
+            sub = cov[3 * i: 3 * i + 3, 3 * i: 3 * i + 3] * np.outer(scale, scale)
             grads = ([0, 1, 0], [1, 0, 0], [0, 0, to_fwhm], [to_area * w, 0, to_area * h])
             values = (c, h, to_fwhm * w, to_area * h * w)
             out += [float(i)]

@@ -20,7 +20,16 @@ def text_encoding(spark: SparkSession, path: str) -> str:
     ).first()
     if not checks["not_utf8"]:
         return "UTF-8"
-    return "ISO-8859-1" if checks["not_thai"] else "x-windows-874"
+    return "ISO-8859-1" if checks["not_thai"] else "cp874"
+
+
+def _thai(texts: list[str] | None = None, column: Column | None = None):
+    """Characters read as latin-1 turned into those of code page 874."""
+    pairs = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp874", "ignore")) for b in range(0x80, 0x100)]
+    pairs = [(a, b) for a, b in pairs if b]
+    if column is not None:
+        return F.translate(column, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    return [t.translate({ord(a): b for a, b in pairs}) for t in texts]
 
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
@@ -31,14 +40,19 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding:
         head = spark.read.text(path).first()
         line = head["value"] if head else ""
         sep = "\t" if path.lower().endswith(".tsv") else max(DELIMITERS, key=line.count)
+    encoding = encoding or text_encoding(spark, path)
+    thai = encoding.lower() in ("cp874", "x-windows-874")
     reader = (
         spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED")
-        .option("encoding", encoding or text_encoding(spark, path))
+        .option("encoding", "ISO-8859-1" if thai else encoding)
     )
+    raw = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    if thai:
+        raw = raw.toDF(*_thai(raw.columns))
+        raw = raw.withColumns({f.name: _thai(column=F.col(f"`{f.name}`")) for f in raw.schema.fields if isinstance(f.dataType, T.StringType)})
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.csv(path)
-    return infer_types(raw.toDF(*clean_header([c.lstrip("﻿") for c in raw.columns])))
+        return raw
+    return infer_types(raw.toDF(*clean_header([c.lstrip("\ufeff") for c in raw.columns])))
 
 
 def flatten(df: DataFrame) -> DataFrame:
