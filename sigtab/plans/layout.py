@@ -126,12 +126,15 @@ class Layout:
         """
         w = self.window()
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # looking ahead runs over the reversed order: a frame that ends at the last row costs n² in Spark
+        onward = Window.partitionBy(*[F.col(f"`{c}`") for c in self.parts]).orderBy(
+            *[F.col(f"`{c}`").desc_nulls_last() for c in self.order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local, partial, cross = {}, {}, {}
         if self.split:
             carry_w = Window.partitionBy(*[F.col(f"`{c}`") for c in self.by]).orderBy("_b")
             before = carry_w.rowsBetween(Window.unboundedPreceding, -1)
-            after = carry_w.rowsBetween(1, Window.unboundedFollowing)
+            after = Window.partitionBy(*[F.col(f"`{c}`") for c in self.by]).orderBy(F.desc("_b")).rowsBetween(
+                Window.unboundedPreceding, -1)
             key, _ = order_key(self.df, self.order)
         for name, spec in specs.items():
             kind = spec[0]
@@ -156,9 +159,9 @@ class Layout:
                 p = F.max_by(e, F.when(e.isNotNull(), key)) if self.split else None
                 c = lambda col: F.last(col, ignorenulls=True).over(before)
             elif kind == "next":
-                local[name] = F.first(e, ignorenulls=True).over(onward)
+                local[name] = F.last(e, ignorenulls=True).over(onward)
                 p = F.min_by(e, F.when(e.isNotNull(), key)) if self.split else None
-                c = lambda col: F.first(col, ignorenulls=True).over(after)
+                c = lambda col: F.last(col, ignorenulls=True).over(after)
             else:
                 raise ValueError(f"unknown scan kind: {kind}")
             partial[name], cross[name] = p, c
