@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtab.plans.layout import join_by, rows_per_task
+from sigtab.plans.layout import join_by, rows_per_task, with_table
 
 
 def _search(y: np.ndarray, at: np.ndarray, level: np.ndarray, strict: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -23,19 +23,22 @@ def _search(y: np.ndarray, at: np.ndarray, level: np.ndarray, strict: bool) -> t
     """
     found, low = np.full(len(at), -1), np.empty(len(at))
     order = np.argsort(at, kind="stable")
-    stack, negative, i = [], [], 0  # positions with falling values, and the negated values
+    # positions with falling values, the negated values, and the minimum since the position before
+    stack, negative, least, i = [], [], [], 0
     for q in order:
         while i < at[q]:
+            lowest = y[i]
             while stack and y[stack[-1]] <= y[i]:
                 stack.pop()
                 negative.pop()
+                lowest = min(lowest, least.pop())
             stack.append(i)
             negative.append(-y[i])
+            least.append(lowest)
             i += 1
         k = (bisect_left if strict else bisect_right)(negative, -level[q])
         found[q] = stack[k - 1] if k else -1
-        part = y[found[q] + 1: at[q]]
-        low[q] = part.min() if len(part) else np.inf
+        low[q] = min(least[k:], default=np.inf)
     return found, low
 
 
@@ -90,22 +93,19 @@ def nearest_crossing(rows: DataFrame, by: list[str], index: str, value: str, que
     others = data.groupBy(*keys).agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
     several = others.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
     others = join_by(others, several, by, "inner") if by else others
-    table = others.select(*[F.col(k).alias(f"_t_{k}") for k in by], F.col("_c").alias("_oc"), "_hi", "_lo")
-    cond = F.lit(True)
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    beyond = F.col("_oc") < F.col("_c") if left else F.col("_oc") > F.col("_c")
-    above = F.col("_hi") > F.col("_l") if strict else F.col("_hi") >= F.col("_l")
-    link = open_ones.join(table, cond & beyond, "left").drop(*[f"_t_{k}" for k in by])
-    near = F.max(F.when(above, F.col("_oc"))) if left else F.min(F.when(above, F.col("_oc")))
-    target = link.groupBy(*by, "_q", "_at", "_l", "_c").agg(
-        near.alias("_tc"), F.first("span_min").alias("_own"), F.collect_list(F.struct("_oc", "_lo")).alias("_mins"))
-    between = (lambda s: F.col("_tc").isNull() | (s["_oc"] > F.col("_tc"))) if left else (
-        lambda s: F.col("_tc").isNull() | (s["_oc"] < F.col("_tc")))
-    target = target.withColumn("_mid", F.array_min(F.transform(F.filter("_mins", between), lambda s: s["_lo"])))
+    cells = others.groupBy(*by).agg(F.collect_list(F.struct("_c", "_hi", "_lo")).alias("_chunks"))
+    link = with_table(open_ones, cells, by)
+    beyond = (lambda s: s["_c"] < F.col("_c")) if left else (lambda s: s["_c"] > F.col("_c"))
+    above = (lambda s: s["_hi"] > F.col("_l")) if strict else (lambda s: s["_hi"] >= F.col("_l"))
+    hits = F.transform(F.filter(F.filter("_chunks", beyond), above), lambda s: s["_c"])
+    link = link.withColumn("_tc", F.array_max(hits) if left else F.array_min(hits))
+    nearer = (lambda s: s["_c"] > F.col("_tc")) if left else (lambda s: s["_c"] < F.col("_tc"))
+    between = F.filter(F.filter("_chunks", beyond), lambda s: F.col("_tc").isNull() | nearer(s))
+    target = link.select(*by, "_q", "_at", "_l", "_c", F.col("span_min").alias("_own"), "_tc",
+                         F.array_min(F.transform(between, lambda s: s["_lo"])).alias("_mid"))
     asks2 = target.select(*by, "_q", "_at", "_l", F.coalesce("_tc", F.lit(-1)).cast("bigint").alias("_c"))
     second = data.groupBy(*keys).cogroup(asks2.filter("_c >= 0").groupBy(*keys)).applyInPandas(inside(True), schema)
-    got = join_by(target.drop("_mins"), second.select(*by, "_q", "found", F.col("span_min").alias("_far")), by + ["_q"])
+    got = join_by(target, second.select(*by, "_q", "found", F.col("span_min").alias("_far")), by + ["_q"])
     ended = got.select(*by, "_q", "_at", "_l", "_c", "found", F.least("_own", "_mid", "_far").alias("span_min"))
     return _named(first.filter(F.col("found").isNotNull()).unionByName(ended), by, queries, query_id)
 
