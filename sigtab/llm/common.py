@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,5 +64,5 @@ def with_columns(df: DataFrame, keep: list[str], new: dict[str, str]) -> StructT
     """The schema of the columns ``keep`` of ``df`` followed by new ones."""
     out = StructType([df.schema[c] for c in keep])
     for name, kind in new.items():
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtab.llm import common, language
+from sigtab.llm import common, language, quality
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,3 +22,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(common.fold(F.col("doc_id"), 4) != 2))
     found = language.predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
     return found.select("doc_id", (common.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(common.fold(F.col("doc_id"), 3) != 1))
+    found = quality.predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    return found.select("doc_id", (common.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
