@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -66,3 +67,15 @@ def with_columns(df: DataFrame, keep: list[str], new: dict[str, str]) -> StructT
     for name, kind in new.items():
         out = out.add(name, DataType.fromDDL(kind))
     return out
+
+
+def to_workers(spark: SparkSession, value):
+    """Send a value of bounded size to the workers once; call the result inside a task to get it."""
+    sent, kept = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not kept:
+            kept.append(cloudpickle.loads(sent.value))
+        return kept[0]
+
+    return get

@@ -112,12 +112,12 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", out: tu
     gets the commonest language with the score 1 / (1 + languages).
     Columns of the names in ``out`` are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.to_workers(docs.sparkSession, model)
     keep = [c for c in (docs.columns if carry is None else carry) if c not in out]
     schema = common.with_columns(docs, keep, {out[0]: "string", out[1]: "double"})
 
     def score(batches):
-        decide = shared.value.decide
+        decide = shared().decide
         for batch in batches:
             found = [decide(t) if s and any(map(str.isalpha, s)) else (UNKNOWN, 0.0) for t, s in zip(textbytes.documents(batch.column(text)), batch.column(text).to_pylist())]
             columns = {c: batch.column(c) for c in keep} | {out[0]: pa.array([x for x, _ in found], pa.string()), out[1]: pa.array([x for _, x in found], pa.float64())}

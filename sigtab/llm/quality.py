@@ -110,7 +110,7 @@ def _dual_descent(rows: list[np.ndarray], ratio: np.ndarray, label: np.ndarray,
     return weights, bias
 
 
-def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope (never below 0.1) and shift of the logistic curve through margins, with the usual softened targets."""
     good, bad = max(1, (label > 0).sum()), max(1, (label < 0).sum())
     target = np.where(label > 0, (good + 1) / (good + 2), 1 / (bad + 2))
@@ -141,7 +141,7 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, tune: np.ndarray, *, cos
     weights, bias = _dual_descent([rows[k] for k in train], ratio, label[train], np.array([cost * 0.5 / share[label[k]] for k in train]), rounds, 1e-3)
     model = SupportVectors(weights * ratio, ratio**2, bias, 1.0, 0.0)
     use = np.flatnonzero(tune) if len(set(label[tune])) == 2 else np.arange(len(rows))
-    model.slope, model.shift = _logistic(np.array([model.margin(rows[k]) for k in use]), label[use])
+    model.slope, model.shift = logistic(np.array([model.margin(rows[k]) for k in use]), label[use])
     return model
 
 
@@ -170,12 +170,12 @@ def predict(docs: DataFrame, model: SupportVectors, text: str = "text", out: tup
 
     A null text is scored as an empty one. Columns of the names in ``out`` are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.to_workers(docs.sparkSession, model)
     keep = [c for c in (docs.columns if carry is None else carry) if c not in out]
 
     def score(batches):
         for batch in batches:
-            found = np.array([shared.value.score(t) for t in textbytes.documents(batch.column(text))], float)
+            found = np.array([shared().score(t) for t in textbytes.documents(batch.column(text))], float)
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {out[0]: pa.array(found), out[1]: pa.array((found >= 0.5).astype(np.int32))})
 
     return docs.mapInArrow(score, common.with_columns(docs, keep, {out[0]: "double", out[1]: "int"}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtab.llm import common, language, quality
+from sigtab.llm import common, language, quality, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,3 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, labels.where(common.fold(F.col("doc_id"), 3) != 1))
     found = quality.predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
     return found.select("doc_id", (common.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
+    found = toxicity.score(docs, labels.where(common.fold(F.col("doc_id"), 5) != 0))
+    return found.select("doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "neighbours", "evidence")
