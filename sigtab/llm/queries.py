@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtab.llm import common, language, quality, toxicity
+from sigtab.llm import common, language, quality, simhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,3 +37,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
     found = toxicity.score(docs, labels.where(common.fold(F.col("doc_id"), 5) != 0))
     return found.select("doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "neighbours", "evidence")
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
