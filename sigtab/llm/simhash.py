@@ -66,7 +66,7 @@ class VantageTree:
         return here
 
     def shards_of(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows (number in ``fp``, shard, guest): each at home once, and as a guest in later shards that may hold something within reach."""
+        """Rows (number in ``fp``, shard, guest): each at home once, and as a guest in other shards that may hold something within reach."""
         out, todo = [], [(0 if self.point else -1, np.arange(len(fp)), np.ones(len(fp), bool))]
         while todo:
             node, rows, home = todo.pop()
@@ -82,7 +82,7 @@ class VantageTree:
         rows, shard, guest = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
         of = np.zeros(len(fp), np.int64)
         of[rows[~guest]] = shard[~guest]
-        use = ~guest | (shard > of[rows])  # of two shards the later one compares
+        use = ~guest | ((shard > of[rows]) ^ ((shard + of[rows]) % 2 == 1))  # of two shards one compares, in turn the later and the earlier
         return rows[use], shard[use], guest[use]
 
 
@@ -170,7 +170,7 @@ def near_classes(prints: DataFrame, key: str = "doc_id", reach: int = 2, shard:
     """fp and component_id (smallest key reachable over links of up to ``reach`` differing bits) for each distinct fp of ``prints``.
 
     Copies meet in one row before anything is compared. A tree over a bounded sample deals the distinct fingerprints to shards of about
-    ``shard``; those near a border visit the later shards, too. A shard returns for each member of a component only its first member,
+    ``shard``; those near a border visit the shard beyond it, too (of two shards one does). A shard returns for each member of a component only its first member,
     never the pairs.
     """
     distinct = common.stored(prints.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
