@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtab.llm import common, language, packing, quality, simhash, toxicity
+from sigtab.llm import chat, common, language, license, packing, quality, simhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,51 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(common.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(common.read(spark, sf_dir, "documents")).drop("spans")
+
+
+_NOTICES = ", ".join(f"({n}, '{label}', '{phrase}', {str(n < len(license.PHRASES)).lower()})" for n, (label, phrase) in enumerate(license.PHRASES + license.NOTICES))
+SQL["op2_license_scan"] = f"""
+WITH texts AS (SELECT DISTINCT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+docs AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(t, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM texts),
+ws AS (SELECT id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS w0 FROM docs),
+grams AS (SELECT id, p, w0 || ' ' || lead(w0) OVER o AS g2, w0 || ' ' || lead(w0) OVER o || ' ' || lead(w0, 2) OVER o AS g3 FROM ws WINDOW o AS (PARTITION BY id ORDER BY p)),
+tpl AS (SELECT *, string_split(phrase, ' ') AS ws, CASE WHEN base THEN 2 ELSE 3 END AS k FROM (VALUES {_NOTICES}) v(template, label, phrase, base)),
+tg AS (SELECT template, label, base, len(ws) AS length, k, q AS tpos, array_to_string(ws[q + 1 : q + k], ' ') AS gram FROM tpl, generate_series(0, 40) s(q) WHERE q <= len(ws) - k),
+hits AS (SELECT id, template, label, base, length, k, tpos, p - tpos AS b FROM grams JOIN tg ON base AND g2 = gram UNION ALL SELECT id, template, label, base, length, k, tpos, p - tpos FROM grams JOIN tg ON NOT base AND g3 = gram),
+diag AS (SELECT id, template, label, base, length, k, b, list(DISTINCT tpos) AS tp, min(tpos) AS lo, max(tpos) AS hi FROM hits GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN base OR coalesce(b - lag(b) OVER o > 3, true) THEN 1 ELSE 0 END AS step FROM diag WINDOW o AS (PARTITION BY id, template ORDER BY b)),
+isl AS (SELECT *, sum(step) OVER (PARTITION BY id, template ORDER BY b) AS island FROM steps),
+spans AS (SELECT id, template, label, base, length, k, flatten(list(tp)) AS tp, min(b + lo) AS s, max(b + hi + k) AS e FROM isl GROUP BY id, template, label, base, length, k, island),
+good AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda t: range(t, t + k))))) / length AS share FROM spans),
+kept AS (SELECT * FROM good WHERE CASE WHEN base THEN share = 1 ELSE share >= 0.8 AND e - s <= 1.5 * length END)
+SELECT doc_id, len(any_value(w))::BIGINT AS n_words, count(template) FILTER (base) AS n_base, min(s) FILTER (base)::BIGINT AS first_word, max(s) FILTER (base)::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score
+FROM docs LEFT JOIN kept USING (id) GROUP BY id, doc_id
+"""
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = common.read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    marked = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    done = chat.format_chat(given.unionByName(marked).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    read = done.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+SQL["op8_chat_format"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({len(chat.START + chat.MIDDLE + chat.END)} + length(regexp_replace(role || text, '[~<[]', '..', 'g'))) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g
+"""
