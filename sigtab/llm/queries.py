@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtab.llm import chat, common, language, license, packing, quality, simhash, toxicity
+from sigtab.llm import chat, common, language, license, packing, quality, rules, simhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,3 +97,10 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   sum({len(chat.START + chat.MIDDLE + chat.END)} + length(regexp_replace(role || text, '[~<[]', '..', 'g'))) AS formatted_chars FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g
 """
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
+    trusted = common.bounded(labels.where("quality = 1").select("doc_id"), F.col("doc_id"), 20_000)
+    return rules.judge(docs, rules.log_ratios(docs, trusted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mean_ratio")
