@@ -58,7 +58,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
     return counts.select("bucket", (F.log((F.col("g") + smooth) / own) - F.log((F.col("n") + smooth) / all_)).alias("ratio"))
 
 
-def judge(docs: DataFrame, ratios: DataFrame, text: str = "text", key: str = "doc_id", *, threshold: float = -0.25, buckets: int = 1 << 16, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def judge(docs: DataFrame, ratios: DataFrame, text: str = "text", key: str = "doc_id", *, threshold: float = -0.15, buckets: int = 1 << 16, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """One row for each distinct key and text: key, the counts of ``base_counts``, base_failed, mean_ratio and kept.
 
     mean_ratio is the mean log ratio of the text's n-grams (0 without any). base_failed: fewer than ``least_words`` words, or more than
