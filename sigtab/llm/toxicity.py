@@ -46,9 +46,10 @@ class Vocabulary:
         return np.unique(at, return_counts=True)
 
 
-def choose_terms(counts: DataFrame, texts: dict[int, int], terms: int) -> np.ndarray:
+def choose_terms(counts: DataFrame, texts: dict[int, int], terms: int, lift: float = 3.0) -> np.ndarray:
     """The n-grams whose presence goes with the label most: largest log-likelihood ratio (G²), at least twice the logarithm of
-    how many n-grams are tried (chance alone hardly exceeds that for any of them).
+    how many n-grams are tried (chance alone hardly exceeds that for any of them), and at least ``lift`` times as common with one
+    label as with the other (else long texts and common languages would speak).
 
     ``counts`` has gram, ones and zeros (texts with it of either label); ``texts`` says how many texts have which label.
     """
@@ -60,8 +61,9 @@ def choose_terms(counts: DataFrame, texts: dict[int, int], terms: int) -> np.nda
 
     g = 2 * (part(F.col("ones"), all_with * one / total) + part(F.col("zeros"), all_with * zero / total)
              + part(one - F.col("ones"), one - all_with * one / total) + part(zero - F.col("zeros"), zero - all_with * zero / total))
-    tried = counts.where(all_with >= 3).select("gram", g.alias("g"))
-    best = tried.where(F.col("g") >= 2 * np.log(max(2, tried.count()))).orderBy(F.desc("g"), "gram").limit(terms)
+    ratio = F.log((F.col("ones") + 0.5) / (one + 1)) - F.log((F.col("zeros") + 0.5) / (zero + 1))
+    tried = counts.where(all_with >= 3).select("gram", g.alias("g"), ratio.alias("ratio"))
+    best = tried.where((F.col("g") >= 2 * np.log(max(2, tried.count()))) & (F.abs("ratio") >= np.log(lift))).orderBy(F.desc("g"), "gram").limit(terms)
     return best.toPandas()["gram"].to_numpy(np.int64).astype(np.uint64)
 
 
@@ -135,8 +137,8 @@ class Neighbours:
     none: float = 0.5
 
     def vote(self, hits: Hits) -> float:
-        """Share of ones among the neighbours, each with weight 1 / (distance + 0.05), plus one vote of the prior at distance 1."""
-        weight = 1 / (1.05 - np.minimum(hits.likeness, 1))
+        """Share of ones among the neighbours, each with weight cosine² / (distance + 0.05), plus one vote of the prior: far neighbours hardly move it."""
+        weight = hits.likeness**2 / (1.05 - np.minimum(hits.likeness, 1))
         return float((weight @ self.labels[hits.examples] + self.prior) / (weight.sum() + 1))
 
     def score(self, hits: Hits) -> float:
