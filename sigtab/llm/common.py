@@ -61,9 +61,13 @@ def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) < int((1 << 40) * rows / there))
 
 
-def with_columns(df: DataFrame, keep: list[str], new: dict[str, str]) -> StructType:
-    """The schema of the columns ``keep`` of ``df`` followed by new ones."""
-    out = StructType([df.schema[c] for c in keep])
+def with_columns(df: DataFrame, keep: list[str], new: dict[str, str], first: dict[str, str] | None = None) -> StructType:
+    """The schema of new columns ``first``, the columns ``keep`` of ``df`` and the new columns ``new``."""
+    out = StructType()
+    for name, kind in (first or {}).items():
+        out = out.add(name, DataType.fromDDL(kind))
+    for name in keep:
+        out = out.add(df.schema[name])
     for name, kind in new.items():
         out = out.add(name, DataType.fromDDL(kind))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtab.llm import chat, common, language, license, packing, quality, rules, simhash, toxicity
+from sigtab.llm import chat, common, language, license, mixing, packing, quality, rules, simhash, syncmer, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
     trusted = common.bounded(labels.where("quality = 1").select("doc_id"), F.col("doc_id"), 20_000)
     return rules.judge(docs, rules.log_ratios(docs, trusted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mean_ratio")
+
+
+@query
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer.neighbours(common.read(spark, sf_dir, "documents"))
+
+
+#: Wanted shares of the tokens.
+TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(common.read(spark, sf_dir, "documents"), mixing.domains_of(common.read(spark, sf_dir, "labels")), TARGETS)
+    return mixed.select("doc_id", "tokens", *[F.col("p")[d].alias(f"p_{d}") for d in sorted(TARGETS)], "rate")
