@@ -45,6 +45,8 @@ class LanguageFilters:
 
     def decide(self, text: np.ndarray) -> tuple[str, float]:
         """The language with the largest corrected share of n-grams, and its share among all languages' fourth powers."""
+        if not self.languages:
+            return UNKNOWN, 0.0
         grams = textbytes.codes(textbytes.folded(text), self.n)
         share = np.zeros(len(self.languages))
         if len(grams):
@@ -64,7 +66,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     Language L gets an n-gram that at least a share ``least`` of its texts (and two of them) contain, and a share of
     at least ``against`` times the largest of any language; of these the ``per_language`` commonest.
-    Rows without a language or a text teach nothing. Without any row a ValueError tells so.
+    Rows without a language or a text teach nothing. Without any such row the filters know no language and predict ``und``.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sample = common.bounded(known.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")), F.col("k"), rows)
@@ -82,7 +84,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     counts = common.stored(counts, "grams")
     totals = {r["lang"]: r["docs"] for r in counts.where("gram = -1").collect()}
     if not totals:
-        raise ValueError("no row has both a text and a language")
+        common.discard(counts)
+        return LanguageFilters([], np.zeros((1, 1), np.uint64), np.zeros(0), n, 0)
     languages = sorted(totals)
     index = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])
     total = F.create_map(*[F.lit(x) for name in languages for x in (name, float(totals[name]))])

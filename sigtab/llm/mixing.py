@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ def _bucket(word: Column, buckets: int) -> Column:
 
 
 def domain_table(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str = "domain", text: str = "text", key: str = "doc_id", *,
-                 rows: int = 12_000, buckets: int = 1 << 18, least: float = 25.0, smooth: float = 0.5) -> tuple[DataFrame, list[float]]:
-    """(bucket, weight: one log ratio for each of ``domains``) and the domains' shares of the examples.
+                 rows: int = 12_000, buckets: int = 1 << 18, least: float = 25.0, smooth: float = 0.5) -> tuple[DataFrame, list[float], DataFrame]:
+    """(bucket, weight: one log ratio for each of ``domains``), the domains' shares of the examples, and these (k, d).
 
     Learned from at most about ``rows`` labelled rows, chosen by a hash of ``key``; of several labels of one key the first domain by name
     counts. A weight is the logarithm of the word bucket's share in texts of the domain over its share in all examples, by how many texts
@@ -33,32 +35,51 @@ def domain_table(docs: DataFrame, labels: DataFrame, domains: list[str], domain:
     for i, s in enumerate(share):
         g = g + F.when(F.col(f"n{i}") > 0, 2 * F.col(f"n{i}") * F.log(F.col(f"n{i}") / (F.col("n") * s))).otherwise(0.0)
     weight = F.array(*[F.log((F.col(f"n{i}") + smooth) / ((F.col("n") + smooth * len(domains)) * s)) for i, s in enumerate(share)])
-    return common.stored(seen.where(g >= least).select("bucket", weight.alias("weight")), "weights"), share
+    return common.stored(seen.where(g >= least).select("bucket", weight.alias("weight")), "weights"), share, chosen
 
 
-def posteriors(docs: DataFrame, table: DataFrame, share: list[float], text: str = "text", key: str = "doc_id", *, buckets: int = 1 << 18) -> DataFrame:
-    """key, same (hash of the text), copies, tokens (words) and p (posterior of each domain) for each distinct key and text.
+def scores(docs: DataFrame, table: DataFrame, n: int, text: str = "text", key: str = "doc_id", *, buckets: int = 1 << 18) -> DataFrame:
+    """key, same (hash of the text), copies, tokens (words) and s (a score for each of n domains) for each distinct key and text.
 
     The log ratios of the text's words with a row are added up and divided by the square root of their number, as
-    the words of a text do not speak independently. A text without such words keeps the shares of the examples.
+    the words of a text do not speak independently. A text without such words has scores of 0.
     """
-    n = len(share)
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"), words(F.coalesce(text, F.lit(""))).alias("w"))
     places = texts.select("k", "same", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))  # -1 stands for the document
     hashed = places.select("k", "same", F.when(F.col("at") < 0, F.size("w")).alias("n"), F.when(F.col("at") >= 0, _bucket(F.get("w", F.col("at")), buckets)).alias("bucket"))
     met = hashed.join(F.broadcast(table), "bucket", "left").where("n is not null or weight is not null")  # a row for each bucket at most
     each = met.groupBy("k", "same").agg(F.count("n").alias("copies"), F.max("n").cast("long").alias("tokens"), F.count("weight").alias("met"), *[F.sum(F.col("weight")[i]).alias(f"s{i}") for i in range(n)])
-    score = [F.coalesce(F.col(f"s{i}") / F.col("copies") / F.sqrt(F.greatest(F.lit(1.0), F.col("met") / F.col("copies"))), F.lit(0.0)) + F.log(F.lit(share[i])) for i in range(n)]
-    scored = each.select("k", "same", "copies", "tokens", F.array(*score).alias("s")).withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
-    return scored.select(F.col("k").alias(key), "same", "copies", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+    score = [F.coalesce(F.col(f"s{i}") / F.col("copies") / F.sqrt(F.greatest(F.lit(1.0), F.col("met") / F.col("copies"))), F.lit(0.0)) for i in range(n)]
+    return each.select(F.col("k").alias(key), "same", "copies", "tokens", F.array(*score).alias("s"))
+
+
+def softmax(s: Column, shift: list[float]) -> Column:
+    e = F.transform(F.zip_with(s, F.array(*[F.lit(float(x)) for x in shift]), lambda a, b: a + b), lambda x: F.exp(F.greatest(F.lit(-700.0), x)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def calibrate(examples: DataFrame, share: list[float], rounds: int = 30, tolerance: float = 0.02) -> list[float]:
+    """A shift for each domain, such that the mean posteriors of ``examples`` (s; a bounded table) are ``share`` up to a relative ``tolerance``:
+    texts without a word for a domain then get less than its share, as those with such words have more."""
+    shift = [math.log(x) for x in share]
+    for _ in range(rounds):
+        mean = examples.agg(*[F.avg(softmax(F.col("s"), shift)[i]) for i in range(len(share))]).first()
+        if mean[0] is None:
+            return shift
+        off = [math.log(x / max(m, 1e-9)) for x, m in zip(share, mean)]
+        shift = [a + 1.5 * b for a, b in zip(shift, off)]
+        shift = [a - max(shift) for a in shift]
+        if max(map(abs, off)) < tolerance:
+            break
+    return shift
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, keep: float = 1e-4, tolerance: float = 1e-3, rounds: int = 200, write_every: int = 10) -> tuple[DataFrame, list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], *, keep: float = 1e-4, tolerance: float = 1e-3, rounds: int = 100, write_every: int = 10) -> tuple[DataFrame, list[float]]:
     """Add rate to ``members`` (copies, tokens, p), so that the expected tokens of each domain, sum of copies · tokens · rate · p, match ``targets``.
 
     Projected gradient steps on the squared deviations relative to the targets, plus ``keep`` times the squared distance of the rates
     from 1 (which picks the mildest rates among those that match). Each step is one sum over all rows; rates stay at 0 or above.
-    Stops when every domain with a target is within ``tolerance`` of it, or no step improves by a hundredth of that; also returns the totals reached.
+    Stops when every domain with a target is within ``tolerance`` of it, or a step improves the squares by less than a thousandth; also returns the totals reached.
     Without any token all rates are 1.
     """
     n, mass = len(targets), F.col("copies") * F.col("tokens")
@@ -82,7 +103,7 @@ def fit_rates(members: DataFrame, targets: list[float], *, keep: float = 1e-4, t
         off = [(now[i] - goal[i]) / goal[i] for i in range(n)]
         worst = max(abs(x) for i, x in enumerate(off) if targets[i] > 0) if any(t > 0 for t in targets) else 0.0
         error = sum((a - b) ** 2 / b for a, b in zip(now, goal))
-        if worst <= tolerance or old is not None and old - error < 0.01 * tolerance**2 * sum(goal):
+        if worst <= tolerance or old is not None and old - error < 1e-3 * old:
             break
         old = error
         pull = F.lit(0.0)
@@ -103,8 +124,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
     Null texts count as empty and weigh nothing.
     """
     domains = sorted(targets)
-    table, share = domain_table(docs, labels, domains, domain, text, key, rows=rows)
-    members = common.stored(posteriors(docs, table, share, text, key), "members")
+    table, share, examples = domain_table(docs, labels, domains, domain, text, key, rows=rows)
+    scored = common.stored(scores(docs, table, len(domains), text, key), "scores")
+    known = F.broadcast(examples.select(F.col("k").alias("_k")))
+    shift = calibrate(common.stored(scored.join(known, scored[key] == known["_k"]).select("s"), "examples"), share)
+    members = common.stored(scored.select(key, "same", "copies", "tokens", softmax(F.col("s"), shift).alias("p")), "members")
+    common.discard(scored)
     mass = F.col("copies") * F.col("tokens")
     sizes = members.agg(F.coalesce(F.sum(mass), F.lit(0)).cast("double").alias("all"), *[F.coalesce(F.sum(mass * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(domains))]).first()
     whole = sum(targets.values())
