@@ -184,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     Examples are at most about ``rows`` labelled rows, chosen by a hash of ``key``; of several labels of one key the largest counts.
     The space is spanned by the up to ``terms`` n-grams whose presence goes with the label most; their document counts come from all rows.
     A text without any of these n-grams has no neighbour and gets the share of ones among such examples. A row's own example is not its neighbour.
-    Null texts count as empty; repeated rows are scored each; a null key is never an example.
+    Null texts count as empty; repeated rows are scored each; a null key is never an example. Without any example every score is 0.5.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     chosen = common.stored(common.bounded(known, F.col("k"), rows).groupBy("k").agg(F.max("y").alias("y")), "examples")
