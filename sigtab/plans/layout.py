@@ -42,25 +42,21 @@ def with_stats(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFra
     """``df`` plus per-series aggregates on every row.
 
     Aggregated with map-side combine and joined back, so a series that holds much of the table
-    never meets in one task. Without keys the one aggregate row is a scalar subquery.
+    never meets in one task. Without keys the one aggregate row is joined to every row.
     """
-    if not by:
-        one = df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("s"))
-        return df.withColumn("_stats_row", one.scalar()).select(
-            "*", *[F.col(f"_stats_row.{k}").alias(k) for k in aggs]
-        ).drop("_stats_row")
-    return join_by(df, df.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()]), by)
+    table = df.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()])
+    return join_by(df, table, by) if by else with_table(df, table, by)
 
 
 def with_table(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` plus the columns of a one-row-per-series ``table``."""
+    """``df`` plus the columns of a table with one row per series (without keys: with one row)."""
     if by:
         return join_by(df, table, by)
-    names = table.columns
-    one = table.select(F.struct(*names).alias("s"))
-    return df.withColumn("_stats_row", one.scalar()).select(
-        "*", *[F.col(f"_stats_row.{k}").alias(k) for k in names]
-    ).drop("_stats_row")
+    names = list(table.columns)
+    one = table.select(*[F.col(f"`{k}`").alias(f"_s_{i}") for i, k in enumerate(names)])
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    # one row by construction, so it is broadcast; a scalar subquery instead breaks when several are stacked
+    return df.join(F.broadcast(one), F.lit(True), "left").select(*kept, *[F.col(f"_s_{i}").alias(k) for i, k in enumerate(names)])
 
 
 def _key_field(df: DataFrame, name: str) -> tuple[Column, str]:
@@ -283,9 +279,11 @@ def with_index(df: DataFrame, by: list[str], order: list[str], name: str = "row_
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by ``spark.checkpoint.dir``; a temporary one only when unset."""
+    """The folder all executors see, named by ``spark.checkpoint.dir``; only a local master may leave it unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="sigtab-")
