@@ -122,10 +122,10 @@ def f2tauc(t):
 
 @query("f3_polynomial_degree1", """
 SELECT user_id, count(*) AS n, regr_intercept(y, x) AS c0, regr_slope(y, x) AS c1, regr_r2(y, x) AS r_squared FROM (
-  SELECT user_id, value AS y, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS x FROM events) GROUP BY 1 HAVING count(*) > 1
+  SELECT user_id, value AS y, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS x FROM events) GROUP BY 1
 """, floats="c0 c1 r_squared", digits=5)
 def f3(t):
-    return fit.polynomial_fit(t.events, "ts", "value", 1, "user_id").filter("n > 1").select(
+    return fit.polynomial_fit(t.events, "ts", "value", 1, "user_id").select(
         "user_id", "n", F.get("coefficients", F.lit(0)).alias("c0"), F.get("coefficients", F.lit(1)).alias("c1"), "r_squared")
 
 

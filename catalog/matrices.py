@@ -47,9 +47,9 @@ def m3(t):
     return mx.to_xyz(surface(t), "f")
 
 
-@query("m3_wide_and_back", f"WITH {M} SELECT f, i, j, j::DOUBLE AS x, z FROM m WHERE j < 5", floats="x z")
+@query("m3_wide_and_back", f"WITH {M} SELECT f, i, j, j::DOUBLE AS x, z FROM m", floats="x z")
 def m3b(t):
-    return mx.from_wide(mx.to_wide(surface(t), 5, "f"), [f"c{k}" for k in range(5)], "i", "f")
+    return mx.from_wide(mx.to_wide(surface(t), 50, "f"), [f"c{k}" for k in range(50)], "i", "f")
 
 
 @query("m4_transpose", f"WITH {M} SELECT f, j AS i, i AS j, z FROM m", floats="z")
@@ -184,11 +184,12 @@ def m13(t):
     return mx.fft2_magnitude(surface(t), True, "f")
 
 
-@query("m14_divide", f"WITH {M} SELECT a.f, a.i, a.j, a.z / nullif(b.z, 0) AS z FROM m a JOIN m b ON b.f = 'R' AND a.f = 'A' AND a.i = b.i AND a.j = b.j".replace("SELECT a.f, a.i", "SELECT a.i"), floats="z")
+@query("m14_divide", f"WITH {M} SELECT a.f, a.i, a.j, a.z / nullif(b.z, 0) AS z FROM m a JOIN m b ON b.f = 'R' AND a.f <> 'R' AND a.i = b.i AND a.j = b.j", floats="z")
 def m14(t):
     s = surface(t)
-    pick = lambda f: s.filter(F.col("f") == f).drop("f")
-    return mx.combine(pick("A"), pick("R"), "divide")
+    flags = [F.lit(f).alias("f") for f in ("A", "N")]
+    below = s.filter("f = 'R'").drop("f").withColumn("f", F.explode(F.array(*flags)))
+    return mx.combine(s.filter("f <> 'R'"), below, "divide", "f")
 
 
 @query("m15_statistics", f"""

@@ -106,12 +106,12 @@ def hourly(t):
 
 @query("f7_peak_fit")
 def f7(t):
-    return nl.fit_peaks(hourly(t), "x", "y", "event_type", max_peaks=2, iterations=12)
+    return nl.fit_peaks(hourly(t), "x", "y", "event_type")
 
 
 @query("f7_peak_fit_columns")
 def f7b(t):
-    return nl.fit_peaks_columns(hourly(t).filter("event_type = 'click'"), "x", ["y", "spread"], max_peaks=1, iterations=10)
+    return nl.fit_peaks_columns(hourly(t), "x", ["y", "spread"], "event_type")
 
 
 @query("u1_formula_predict", """
@@ -236,12 +236,13 @@ def x4(t):
 
 
 @query("x4_moving_average_table", f"""
-WITH e AS (SELECT event_id, user_id, ts, {HOLES} AS y FROM events)
-SELECT user_id::VARCHAR AS device, event_id AS seq, avg(y) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING) AS average FROM e WHERE y IS NOT NULL
-UNION ALL SELECT user_id::VARCHAR, event_id, NULL FROM e WHERE y IS NULL
+WITH e AS (SELECT event_id, user_id, ts, {HOLES} AS y, json_extract(props, '$.k')::DOUBLE AS k FROM events),
+     l AS (SELECT event_id, user_id, ts, 'y' AS channel, y AS value FROM e UNION ALL SELECT event_id, user_id, ts, 'k', k FROM e)
+SELECT user_id::VARCHAR AS device, channel, event_id AS seq, avg(value) OVER (PARTITION BY user_id, channel ORDER BY ts, event_id ROWS 4 PRECEDING) AS average FROM l WHERE value IS NOT NULL
+UNION ALL SELECT user_id::VARCHAR, channel, event_id, NULL FROM l WHERE value IS NULL
 """, floats="average")
 def x4b(t):
-    return sensor.moving_average_table(channels(t).filter("channel = 'y'"), 5).select("device", "seq", "average")
+    return sensor.moving_average_table(channels(t), 5).select("device", "channel", "seq", "average")
 
 
 @query("x5_exposure_states", """

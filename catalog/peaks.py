@@ -151,15 +151,14 @@ def k5b(t):
 
 
 @query("k6_cv", """
-SELECT user_id, max(value) AS oxidation_current, arg_max(k, value) AS oxidation_potential, min(value) AS reduction_current, arg_min(k, value) AS reduction_potential,
-       abs(arg_max(k, value) - arg_min(k, value)) AS delta_ep, abs(max(value) / min(value)) AS current_ratio
-FROM (SELECT user_id, value, json_extract(props, '$.k')::DOUBLE AS k FROM events ORDER BY user_id, ts) GROUP BY 1 HAVING count(*) >= 3
-AND count(DISTINCT value) = count(*)
+SELECT user_id, oxidation_current, oxidation_potential, reduction_current, reduction_potential, abs(oxidation_potential - reduction_potential) AS delta_ep,
+       abs(oxidation_current / reduction_current) AS current_ratio FROM (
+  SELECT user_id, max(value) AS oxidation_current, first(k ORDER BY value DESC, ts, event_id) AS oxidation_potential, min(value) AS reduction_current,
+         first(k ORDER BY value, ts, event_id) AS reduction_potential
+  FROM (SELECT *, json_extract(props, '$.k')::DOUBLE AS k FROM events) GROUP BY 1 HAVING count(*) >= 3)
 """, floats="oxidation_current oxidation_potential reduction_current reduction_potential delta_ep current_ratio")
 def k6(t):
-    e = t.events.withColumn("k", F.get_json_object("props", "$.k"))
-    single = e.groupBy("user_id").agg((F.countDistinct("value") == F.count("value")).alias("ok")).filter("ok").drop("ok")
-    return peaks.cv_metrics(e.join(single, "user_id"), "k", "value", ["ts", "event_id"], "user_id")
+    return peaks.cv_metrics(t.events.withColumn("k", F.get_json_object("props", "$.k")), "k", "value", ["ts", "event_id"], "user_id")
 
 
 @query("k7_discharge", """

@@ -110,15 +110,15 @@ def s9(t):
 
 @query("s9_occurrence_join", """
 WITH a AS (SELECT l_shipdate, l_quantity, row_number() OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS occurrence
-           FROM lineitem WHERE l_returnflag = 'A'),
+           FROM lineitem WHERE l_returnflag <> 'R'),
      b AS (SELECT l_shipdate, l_quantity, row_number() OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS occurrence
            FROM lineitem WHERE l_returnflag = 'R')
 SELECT l_shipdate, occurrence, a.l_quantity AS a, b.l_quantity AS b FROM a FULL JOIN b USING (l_shipdate, occurrence)
 """, floats="a b")
 def s9b(t):
     order = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
-    pick = lambda flag: t.lineitem.filter(F.col("l_returnflag") == flag)
-    return joins.outer_by_occurrence({"a": pick("A"), "b": pick("R")}, "l_shipdate", "l_quantity", order)
+    back = F.col("l_returnflag") == "R"
+    return joins.outer_by_occurrence({"a": t.lineitem.filter(~back), "b": t.lineitem.filter(back)}, "l_shipdate", "l_quantity", order)
 
 
 @query("s10_append", """
@@ -424,10 +424,10 @@ def r9(t):
 # ---- joins ----
 @query("j1_merge_inner", """
 SELECT coalesce(s_nationkey, c_nationkey) AS nation, s_suppkey, c_custkey, s_acctbal AS acctbal_left, c_acctbal AS acctbal_right
-FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey < 20
+FROM supplier JOIN customer ON s_nationkey = c_nationkey
 """, floats="acctbal_left acctbal_right")
 def j1(t):
-    left = t.supplier.filter("s_suppkey < 20").select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.col("s_acctbal").alias("acctbal"))
+    left = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.col("s_acctbal").alias("acctbal"))
     right = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", F.col("c_acctbal").alias("acctbal"))
     return joins.merge(left, right, "nation", "nation", "inner")
 
@@ -445,15 +445,15 @@ def j1b(t):
 
 @query("j2_exact_time_merge", """
 SELECT o_orderkey, o_orderdate, l_shipdate, l_extendedprice FROM orders
-LEFT JOIN (SELECT l_shipdate, max(l_extendedprice) AS l_extendedprice FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON o_orderdate = l_shipdate
+LEFT JOIN (SELECT l_shipdate, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1) ON o_orderdate = l_shipdate
 """, floats="l_extendedprice")
 def j2(t):
-    right = t.lineitem.filter("l_linenumber = 1").groupBy("l_shipdate").agg(F.max("l_extendedprice").alias("l_extendedprice"))
+    right = t.lineitem.groupBy("l_shipdate").agg(F.max("l_extendedprice").alias("l_extendedprice"))
     return joins.merge(t.orders.select("o_orderkey", "o_orderdate"), right, "o_orderdate", "l_shipdate", "left")
 
 
 NEAREST_SQL = """
-WITH l AS (SELECT event_id, {key} epoch_us(ts) / 1e6 AS x FROM events WHERE event_type IN ('click', 'view')),
+WITH l AS (SELECT event_id, {key} epoch_us(ts) / 1e6 AS x FROM events WHERE event_type <> 'purchase'),
      r AS (SELECT event_id AS rid, {key} epoch_us(ts) / 1e6 AS rx, value AS rv FROM events WHERE event_type = 'purchase'),
      b AS (SELECT l.*, rid, rx, rv FROM l ASOF LEFT JOIN r ON {on} l.x >= r.rx),
      a AS (SELECT l.event_id, rid AS rid2, rx AS rx2, rv AS rv2 FROM l ASOF LEFT JOIN r ON {on} l.x <= r.rx)
@@ -464,7 +464,7 @@ FROM b JOIN a ON a.event_id = b.event_id
 
 
 def nearest(t, by):
-    left = t.events.filter(F.col("event_type").isin("click", "view")).select("event_id", "user_id", "ts")
+    left = t.events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts")
     right = t.events.filter("event_type = 'purchase'").select(
         F.col("event_id").alias("near_id"), "user_id", F.col("ts").alias("near_ts"), F.col("value").alias("near_value"))
     return joins.nearest_merge(left, right, "ts", "near_ts", by, ["near_id"]).select("event_id", "near_id", "near_value")
@@ -481,7 +481,7 @@ def j3b(t):
 
 
 @query("j4_interpolate_join", """
-WITH l AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS x FROM events WHERE event_type IN ('click', 'view')),
+WITH l AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS x FROM events WHERE event_type <> 'purchase'),
      r AS (SELECT user_id, epoch_us(ts) / 1e6 AS rx, value AS rv FROM events WHERE event_type = 'purchase'),
      b AS (SELECT l.*, rx, rv FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.x >= r.rx),
      a AS (SELECT l.event_id, rx AS rx2, rv AS rv2 FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.x <= r.rx)
@@ -489,6 +489,6 @@ SELECT b.event_id, CASE WHEN rv IS NULL THEN rv2 WHEN rv2 IS NULL OR rx2 = rx TH
 FROM b JOIN a ON a.event_id = b.event_id
 """, floats="level")
 def j4(t):
-    left = t.events.filter(F.col("event_type").isin("click", "view")).select("event_id", "user_id", "ts")
+    left = t.events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts")
     right = t.events.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("rts"), F.col("value").alias("level"))
     return joins.interpolate_join(left, right, "ts", "rts", ["level"], "user_id").select("event_id", "level")

@@ -14,9 +14,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-LIMIT = 1e7  # above this many degrees of freedom the limiting distribution is used
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+FAR = 1e6  # from here on the expansions in 1 / df are exact to double precision, and continued fractions are slow
+
+
+def _each(f, x):
+    x = np.asarray(x, float)
+    return np.fromiter(map(f, x.ravel().tolist()), float, x.size).reshape(x.shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
 
 
 def beta_share(x, a, b):
@@ -40,6 +51,7 @@ def beta_share(x, a, b):
             h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
+    h = np.where(np.abs(d * c - 1) < 1e-9, h, np.nan)  # not converged: no number
     value = np.where(z <= 0, 0.0, np.where(z >= 1, 1.0, front * h))
     return np.where(flip, 1 - value, value)
 
@@ -70,16 +82,20 @@ def gamma_tail(a, x):
         h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
+    h = np.where(np.abs(d * c - 1) < 1e-9, h, np.nan)  # not converged: no number
+    lower = np.where(np.abs(term) < np.abs(total) * 1e-9, lower, np.nan)
     return np.where(x <= 0, 1.0, np.where(safe < a + 1, 1 - lower, scale * h))
 
 
 def t_tail(t, df):
     """P(T > t)."""
     t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
-    d = np.clip(df, 1e-9, LIMIT)
-    half = 0.5 * beta_share(d / (d + np.minimum(t * t, 1e300)), d / 2, 0.5)
+    d, square = np.clip(df, 1e-9, FAR), np.minimum(t * t, 1e300)
+    half = 0.5 * beta_share(d / (d + square), d / 2, 0.5)
     out = np.where(t > 0, half, 1 - half)
-    out = np.where(df > LIMIT, 0.5 * _erfc(t / math.sqrt(2)), out)
+    wide = np.where(np.isposinf(df), 1e300, np.where(df > FAR, df, FAR))
+    spread = np.where(np.isposinf(df), square, (wide - 0.5) * np.log1p(square / wide))  # its root is normal up to terms in 1 / df²
+    out = np.where(df > FAR, 0.5 * _erfc(np.sign(t) * np.sqrt(spread / 2)), out)
     out = np.where(np.isposinf(t), 0.0, np.where(np.isneginf(t), 1.0, out))
     return np.where(np.isnan(t) | ~(df > 0), np.nan, out)
 
@@ -87,10 +103,21 @@ def t_tail(t, df):
 def f_tail(f, d1, d2):
     """P(F > f)."""
     f, d1, d2 = np.broadcast_arrays(*(np.asarray(v, float) for v in (f, d1, d2)))
-    b = np.clip(d2, 1e-9, LIMIT)
+    a, b = np.clip(d1, 1e-9, None), np.clip(d2, 1e-9, None)
     g = np.clip(f, 0, 1e290)
-    out = np.where(d2 > LIMIT, gamma_tail(np.maximum(d1, 1e-9) / 2, g * d1 / 2),
-                   beta_share(b / (b + d1 * g), b / 2, np.maximum(d1, 1e-9) / 2))
+    small_a, small_b = np.minimum(a, FAR), np.minimum(b, FAR)
+    out = beta_share(small_b / (small_b + small_a * g), small_b / 2, small_a / 2)
+
+    def wide(few, many, ratio):
+        """Share above: (many + few / 2 - 1) / 2 · log(1 + few · ratio / many) is gamma of shape few / 2 up to terms in 1 / many²."""
+        finite = np.where(np.isposinf(many), 1.0, many)
+        scale = np.where(np.isposinf(many), few * ratio / 2, (finite + few / 2 - 1) / 2 * np.log1p(few * ratio / finite))
+        return gamma_tail(few / 2, scale)
+
+    out = np.where((b > FAR) & (a <= FAR), wide(small_a, b, g), out)
+    out = np.where((a > FAR) & (b <= FAR), 1 - wide(small_b, a, 1 / np.maximum(g, 1e-290)), out)
+    cube, va, vb = np.cbrt(g), 2 / (9 * a), 2 / (9 * b)  # both large: cube roots are normal up to terms in 1 / df
+    out = np.where((a > FAR) & (b > FAR), 0.5 * _erfc(((1 - vb) * cube - (1 - va)) / np.sqrt(2 * (va + vb * cube * cube))), out)
     out = np.where(np.isposinf(f), 0.0, out)
     return np.where(np.isnan(f) | ~(d1 > 0) | ~(d2 > 0), np.nan, out)
 

@@ -17,7 +17,6 @@ from sigtab.plans.layout import join_by, lay_out, with_stats, with_table
 from sigtab.plans.normeq import map_rows, number
 from sigtab.plans.quantile import medians, mid_ranks
 
-MAX_LEVELS = 256
 
 
 def _present(df: DataFrame, columns: list[str], policy: str) -> DataFrame:
@@ -171,6 +170,41 @@ def anova_cells(df: DataFrame, value: str, a: str, b: str, by=None) -> DataFrame
 ANOVA_FIELDS = "term string, sum_squares double, df double, mean_square double, f_statistic double, p_value double, eta_squared double, partial_eta_squared double"
 
 
+def _between_levels(n: np.ndarray, dev: np.ndarray, at: np.ndarray) -> float:
+    """Sum of squares that the means of one factor explain; ``dev`` are cell means about the grand mean."""
+    size, total = np.bincount(at, n), np.bincount(at, n * dev)
+    return float((total * total / size).sum())
+
+
+def _weighted_means(n: np.ndarray, dev: np.ndarray, at: np.ndarray, levels: int) -> float:
+    """Type III sum of squares of a factor beside an interaction, all cells filled: its unweighted means, weighted by their precision."""
+    each = np.bincount(at)
+    mean = np.bincount(at, dev) / each
+    weight = each * each / np.bincount(at, 1 / n)
+    middle = (weight * mean).sum() / weight.sum()
+    return float((weight * (mean - middle) ** 2).sum())
+
+
+def _additive_residual(n: np.ndarray, dev: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> float:
+    """Between-cell sum of squares that two additive factors leave.
+
+    The normal equations come from the cell sums; the factor with more levels is eliminated, so only a system of
+    the smaller number of levels is solved.
+    """
+    if ia.max() < ib.max():
+        ia, ib = ib, ia
+    counts = np.zeros((ia.max() + 1, ib.max() + 1))
+    np.add.at(counts, (ia, ib), n)
+    size_a, sum_a, sum_b = counts.sum(1), np.bincount(ia, n * dev), np.bincount(ib, n * dev)
+    schur = np.diag(counts.sum(0)) - counts.T @ (counts / size_a[:, None])
+    effect, _, rank, _ = np.linalg.lstsq(schur, sum_b - counts.T @ (sum_a / size_a), rcond=1e-12)
+    if rank < counts.shape[1] - 1:
+        raise ValueError("the design is rank deficient")
+    other = (sum_a - counts @ effect) / size_a
+    left = dev - other[ia] - effect[ib]
+    return float((n * left * left).sum())
+
+
 def two_way_anova(df: DataFrame, value: str, a: str, b: str, by=None, interaction: bool = True,
                   ss_type: int = 2) -> DataFrame:
     """Type II or III table of two factors, solved on the level cells instead of the rows.
@@ -179,9 +213,6 @@ def two_way_anova(df: DataFrame, value: str, a: str, b: str, by=None, interactio
     """
     by = keys(by)
     cells = anova_cells(df, value, a, b, by)
-    wide = cells.groupBy(*by).agg(F.countDistinct("level_a").alias("la"), F.countDistinct("level_b").alias("lb"))
-    if not wide.filter((F.col("la") > MAX_LEVELS) | (F.col("lb") > MAX_LEVELS)).isEmpty():
-        raise ValueError(f"a factor has more than {MAX_LEVELS} levels")
     names = {"a": a, "b": b, "ab": f"{a}:{b}"}
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,39 +223,25 @@ def two_way_anova(df: DataFrame, value: str, a: str, b: str, by=None, interactio
             raise ValueError("each factor needs two levels")
         if interaction and len(pdf) < len(la) * len(lb):
             raise ValueError("empty level cells: the design is rank deficient")
-
-        def effect(levels, index):
-            code = np.vstack([np.eye(levels - 1), -np.ones(levels - 1)])
-            return code[index]
-
-        ea, eb = effect(len(la), ia), effect(len(lb), ib)
-        parts = {"1": np.ones((len(pdf), 1)), "a": ea, "b": eb,
-                 "ab": (ea[:, :, None] * eb[:, None, :]).reshape(len(pdf), -1)}
-        root = np.sqrt(n)
-
-        def residual(terms):
-            x = np.hstack([parts[k] for k in terms]) * root[:, None]
-            beta, _, rank, _ = np.linalg.lstsq(x, mean * root, rcond=None)
-            r = mean * root - x @ beta
-            return float(r @ r), int(rank)
-
-        full = ["1", "a", "b"] + (["ab"] if interaction else [])
-        between, rank = residual(full)
-        if rank < sum(parts[k].shape[1] for k in full):
-            raise ValueError("the design is rank deficient")
-        sse, dof = between + pdf["ss"].sum(), n.sum() - rank
+        grand = (n * mean).sum() / n.sum()
+        dev = mean - grand
+        within = pdf["ss"].sum()
+        one_a, one_b = (_between_levels(n, dev, at) for at in (ia, ib))
+        additive = _additive_residual(n, dev, ia, ib)
+        between = float((n * dev * dev).sum())
+        sse, dof = within + (0.0 if interaction else additive), n.sum() - (len(pdf) if interaction else len(la) + len(lb) - 1)
         if dof <= 0:
             raise ValueError("no replication: the residual variance cannot be estimated")
-        grand = (n * mean).sum() / n.sum()
-        total = pdf["ss"].sum() + (n * (mean - grand) ** 2).sum()
+        total = within + between
         specs = []
-        for term in full[1:]:
-            if ss_type == 2 and term != "ab":
-                small, big = [k for k in ("1", "a", "b") if k != term], ["1", "a", "b"]
+        for term, at, levels, other in (("a", ia, len(la), one_b), ("b", ib, len(lb), one_a)):
+            if interaction and ss_type != 2:
+                ss = _weighted_means(n, dev, at, levels)
             else:
-                small, big = [k for k in full if k != term], full
-            (r0, k0), (r1, k1) = residual(small), residual(big)
-            specs.append((names[term], max(0.0, r0 - r1), float(k1 - k0)))
+                ss = between - other - additive  # what the factor adds to the other one
+            specs.append((names[term], max(0.0, float(ss)), float(levels - 1)))
+        if interaction:
+            specs.append((names["ab"], max(0.0, additive), float((len(la) - 1) * (len(lb) - 1))))
         mse, out = sse / dof, []
         for term, ss, d in specs:
             f = ss / d / mse if mse > 0 else (0.0 if ss == 0 else float("inf"))

@@ -210,8 +210,8 @@ def default_prominence(rows: DataFrame, by: list[str], signal: str, index: str)
 
 def detect_peaks(df: DataFrame, x: str, y: str, by=None, baseline: str = "linear", direction: str = "positive",
                  prominence: float | None = None, height: float | None = None, distance: int | None = None,
-                 width: float | None = None, max_peaks: int | None = 20, **options) -> DataFrame:
-    """Peaks of the baseline-corrected curve by prominence.
+                 width: float | None = None, max_peaks: int | None = None, **options) -> DataFrame:
+    """Peaks of the baseline-corrected curve by prominence; all of them, or the ``max_peaks`` most prominent ones.
 
     Flat tops count once, at their middle row. Columns: ``i`` (row in order of x), ``x``, ``y``,
     ``height`` (corrected), ``prominence``, ``width`` (rows, when asked for).
