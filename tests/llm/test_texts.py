@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -39,7 +40,12 @@ def test_encoder_equals_the_tokenizer(odd):
     plain, own = Tokenizer.from_file(PATH), packing.Encoder(PATH, most=500)
     texts = [r["text"] or "" for r in odd.select("text").collect()]
     texts += ["don't  WE'LL\tgo", "a<|startoftext|>b <|endoftext|>", "x y z w", "ño ́e", "ﬁ Ⅷ İstanbul ΣΑΣ", "a​b﻿c", "1234 5,6.7", "🙂 🙂🙂", "\x1c\x1d a\x1eb"]
-    assert own.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    draw = random.Random(9)
+    kinds = ["abcXYZ", "éÉßñÿƀǆǅ", "0123²½", " \t\n\x0b\x85\xa0", "'.,!|<>*&-_", "日本—’“”", "\x00\x1f\u0301\u0345", "'s 't 'll"]
+    texts += ["".join(draw.choice(draw.choice(kinds)) for _ in range(draw.randint(1, 60))) for _ in range(400)]
+    texts += ["".join(chr(c) for c in range(a, a + 64)) for a in range(0, 0x300, 64)] + [f"a{chr(c)}b {chr(c)}" for c in range(0x260)]
+    for t in texts:
+        assert own.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
 def packed(frame):
