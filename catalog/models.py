@@ -106,12 +106,12 @@ def hourly(t):
 
 @query("f7_peak_fit")
 def f7(t):
-    return nl.fit_peaks(hourly(t), "x", "y", "event_type", max_peaks=2)
+    return nl.fit_peaks(hourly(t), "x", "y", "event_type", max_peaks=2, iterations=12)
 
 
 @query("f7_peak_fit_columns")
 def f7b(t):
-    return nl.fit_peaks_columns(hourly(t), "x", ["y", "spread"], "event_type", max_peaks=1)
+    return nl.fit_peaks_columns(hourly(t), "x", ["y", "spread"], "event_type", max_peaks=1, iterations=10)
 
 
 @query("u1_formula_predict", """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigtab.functions.numeric import div, finite, keys
-from sigtab.functions.tails import chi2_sf, f_sf, f_tail, norm_cdf, norm_ppf, t_ppf, t_sf
+from sigtab.functions.tails import chi2_sf, f_sf, f_tail, norm_cdf, norm_ppf, ranksum_p, signed_rank_p, t_ppf, t_sf
 from sigtab.operators.distributions import ranked_values
 from sigtab.plans.layout import join_by, lay_out, with_stats, with_table
 from sigtab.plans.normeq import map_rows, number
@@ -260,12 +260,16 @@ def two_way_anova(df: DataFrame, value: str, a: str, b: str, by=None, interactio
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second, by=None, alternative: str = "two-sided",
-                 continuity: bool = True) -> DataFrame:
-    """U of the first group, tie-corrected normal p, rank-biserial correlation and both medians.
+                 continuity: bool = True, method: str = "auto") -> DataFrame:
+    """U of the first group, its p, rank-biserial correlation and both medians.
 
-    Ranks come from the distinct values with their counts.
+    Ranks come from the distinct values with their counts. ``method``: ``normal`` is the tie-corrected normal law, ``exact``
+    counts the arrangements of ranks (meant for values without ties), ``auto`` is exact without ties while one group has
+    at most eight values and the product of both sizes is at most 8,000.
     """
     by = keys(by)
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method: {method}")
     rows = df.select(*by, finite(value).alias("_x"), F.col(group).alias("_g")).filter(
         F.col("_x").isNotNull() & F.col("_g").isin(first, second))
     ranks = mid_ranks(rows, by, "_x", {"_na": F.count_if(F.col("_g") == first)})
@@ -282,11 +286,18 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second, by=None,
                               F.when(F.col("_g") == second, F.col("_x")).alias("b")), by,
                   {"first_median": "a", "second_median": "b"})
     m = m.withColumn("statistic", u).withColumn("_z", _rank_z(u, n1 * n2 / 2, var, alternative, 0.5 if continuity else 0.0))
-    out = m.select(*by, "n_first", "n_second", "statistic", _rank_p(F.col("_z"), alternative).alias("p_value"),
+    small = (F.col("_tt") == 0) & (F.least("n_first", "n_second") <= 8) & (F.col("n_first") * F.col("n_second") <= 8000)
+    counted = F.when(_exact(method, small), n1).otherwise(F.lit(0.0))
+    p = F.when(_exact(method, small), ranksum_p(F.col("statistic"), counted, n2, F.lit(alternative))).otherwise(_rank_p(F.col("_z"), alternative))
+    out = m.select(*by, "n_first", "n_second", "statistic", p.alias("p_value"),
                    (2 * F.col("statistic") / (n1 * n2) - 1).alias("rank_biserial"))
     return with_table(out, med, by)
 
 
+def _exact(method: str, small: Column) -> Column:
+    return small if method == "auto" else F.lit(method == "exact")
+
+
 def _rank_z(stat: Column, mean: Column, var: Column, alternative: str, shift: float) -> Column:
     d = stat - mean
     if alternative == "two-sided":
@@ -305,8 +316,14 @@ def _rank_p(z: Column, alternative: str) -> Column:
 
 
 def wilcoxon(df: DataFrame, first: str, second: str | None = None, by=None, alternative: str = "two-sided",
-             zero_method: str = "wilcox", correction: bool = False) -> DataFrame:
-    """Signed-rank test of differences, normal p with tie correction, matched rank-biserial correlation."""
+             zero_method: str = "wilcox", correction: bool = False, method: str = "auto") -> DataFrame:
+    """Signed-rank test of differences, its p, matched rank-biserial correlation.
+
+    ``method``: ``normal`` is the normal law with tie correction, ``exact`` counts the signs of ranks (meant for differences
+    without ties and zeros), ``auto`` is exact for up to 50 differences without ties and zeros.
+    """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method: {method}")
     if zero_method not in ("wilcox", "pratt", "zsplit"):
         raise ValueError(f"unknown zero method: {zero_method}")
     by = keys(by)
@@ -345,7 +362,11 @@ def wilcoxon(df: DataFrame, first: str, second: str | None = None, by=None, alte
         m = with_table(m, alone, by)
     else:
         m = m.withColumns({"_ep": F.col("_rp"), "_en": F.col("_rn")})
-    out = m.select(*by, "nonzero_pairs", "statistic", _rank_p(z, alternative).alias("p_value"),
+    m = with_table(m, rows.groupBy(*by).agg(F.count_if(F.col("_d") == 0).alias("_zeros")), by)
+    small = (F.col("_tt") == 0) & (F.col("_n") <= 50) & (F.col("_zeros") == 0)
+    counted = F.when(_exact(method, small), n).otherwise(F.lit(0.0))
+    p = F.when(_exact(method, small), signed_rank_p(F.col("_plus"), counted, F.lit(alternative))).otherwise(_rank_p(z, alternative))
+    out = m.select(*by, "nonzero_pairs", "statistic", p.alias("p_value"),
                    div(F.col("_ep") - F.col("_en"), F.col("_ep") + F.col("_en")).alias("rank_biserial"))
     totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"))
     totals = with_table(totals, medians(rows, by, {"median_difference": "_d"}), by)

@@ -168,3 +168,50 @@ def test_polynomial_of_high_degree(spark):
     np.testing.assert_allclose(out.fitted, out.y, atol=1e-8)
     with pytest.raises(ValueError):
         fit.polynomial_fit(df, "x", "y", 13)
+
+
+def test_exact_rank_laws(spark):
+    import itertools
+
+    for n1, n2 in ((1, 1), (3, 4), (5, 2)):
+        law = np.zeros(n1 * n2 + 1)
+        for own in itertools.combinations(range(n1 + n2), n1):
+            law[sum(own) - n1 * (n1 - 1) // 2] += 1
+        np.testing.assert_allclose(tails.rank_sum_law(n1, n2), law / law.sum(), atol=1e-15)
+    law = np.zeros(29)
+    for signs in itertools.product((0, 1), repeat=7):
+        law[sum(r * s for r, s in zip(range(1, 8), signs))] += 1 / 128
+    np.testing.assert_allclose(tails.signed_rank_law(7), law, atol=1e-15)
+    df = frame(spark, v=[1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.5], g=["a", "a", "b", "a", "b", "b", "b"])
+    r = hyp.mann_whitney(df, "v", "g", "a", "b").first()  # U = 1; 2 of 35 arrangements reach it
+    assert r.statistic == 1 and r.p_value == pytest.approx(4 / 35)
+    assert hyp.mann_whitney(df, "v", "g", "a", "b", alternative="less").first().p_value == pytest.approx(2 / 35)
+    assert hyp.mann_whitney(df, "v", "g", "a", "b", method="normal").first().p_value != pytest.approx(4 / 35)
+    w = hyp.wilcoxon(frame(spark, d=[1.0, 2.0, 3.0, 4.0, -0.5]), "d").first()
+    assert w.p_value == pytest.approx(4 / 32)
+
+
+def test_tails_far_out():
+    for t in (0.5, 2.0, 5.0):
+        near, far = tails.t_tail(t, 9.99e5), tails.t_tail(t, 1.001e6)
+        z = 0.5 * math.erfc(t / math.sqrt(2))
+        first = math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * t * (1 + t * t) / 4
+        assert far == pytest.approx(z + first / 1.001e6, rel=1e-8) and near == pytest.approx(far, rel=1e-5)
+    for d in (3, 40, 2000):
+        assert tails.f_tail(1.1, d, 9.99e5) == pytest.approx(tails.f_tail(1.1, d, 1.001e6), rel=1e-4)
+        assert tails.f_tail(1.1, 9.99e5, d) == pytest.approx(tails.f_tail(1.1, 1.001e6, d), rel=1e-4)
+
+
+def test_two_way_anova_has_no_level_limit():
+    rng = np.random.default_rng(2)
+    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(7), indexing="ij"))
+    n, dev = rng.integers(1, 9, len(ia)).astype(float), rng.normal(size=len(ia))
+    dev -= (n * dev).sum() / n.sum()
+    x = np.hstack([np.eye(300)[ia], np.eye(7)[ib]]) * np.sqrt(n)[:, None]
+    r = dev * np.sqrt(n) - x @ np.linalg.lstsq(x, dev * np.sqrt(n), rcond=None)[0]
+    assert hyp._additive_residual(n, dev, ia, ib) == pytest.approx(float(r @ r))
+    code = np.vstack([np.eye(6), -np.ones(6)])[ib]  # type III by effect coding
+    ea = np.vstack([np.eye(299), -np.ones(299)])[ia]
+    rest = np.hstack([np.ones((len(ia), 1)), ea, (ea[:, :, None] * code[:, None, :]).reshape(len(ia), -1)]) * np.sqrt(n)[:, None]
+    r = dev * np.sqrt(n) - rest @ np.linalg.lstsq(rest, dev * np.sqrt(n), rcond=None)[0]
+    assert hyp._weighted_means(n, dev, ib, 7) == pytest.approx(float(r @ r), rel=1e-6)
