@@ -6,6 +6,7 @@ With a watermark, idle keys expire after ``idle``; rows later than it are droppe
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,17 +113,16 @@ def moving_average(df: DataFrame, window: int, idle_ms: int | None = None) -> Da
             state.remove()
             return
         pdf = _rows(batches)
-        kept = list(state.get[0]) if state.exists else []
-        means = []
-        for v in pdf["value"]:
-            if v is None or v != v:
-                means.append(None)
-                continue
-            kept = (kept + [float(v)])[-window:]
-            means.append(sum(kept) / len(kept))
-        state.update((kept,))
+        kept = np.array(state.get[0] if state.exists else [], float)
+        values = pdf["value"].to_numpy(float)
+        known = ~np.isnan(values)
+        seen = np.concatenate((kept, values[known]))
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(window), seen)), window)[1:]
+        means = np.full(len(values), np.nan)
+        means[known] = (windows.sum(axis=1) / np.minimum(np.arange(1, len(seen) + 1), window))[len(kept):]
+        state.update((seen[-window:].tolist(),))
         _linger(state, idle_ms, pdf["ts"].max())
-        pdf["average"] = pd.Series(means, dtype=object)
+        pdf["average"] = pd.Series(means, dtype=object).where(known, None)
         yield pdf[["device", "channel", "ts", "seq", "value", "average"]]
 
     timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
@@ -156,17 +156,17 @@ def exposure_states(readings: DataFrame, markers: DataFrame, idle_ms: int | None
             return
         pdf = _rows(batches)
         now, pending = (state.get[0], list(state.get[1])) if state.exists else ("off", [])
-        out = []
-        for r in pdf.itertuples(index=False):
-            if isinstance(r.mark, str):
-                now = r.mark
-                pending.append(r.note)
-            else:
-                out.append((r.device, r.ts, r.seq, r.value, now, ";".join(pending)))
-                pending = []
+        marked = pdf["mark"].notna()
+        before = (~marked).cumsum()  # readings so far
+        notes = pdf["note"][marked].groupby(before[marked]).agg(list).to_dict()
+        notes[0] = pending + notes.get(0, [])
+        reads = pdf[~marked]
+        out = reads[["device", "ts", "seq", "value"]].assign(
+            gas_state=pdf["mark"].ffill().fillna(now)[~marked], event=[";".join(notes.get(k, [])) for k in range(len(reads))])
+        now, pending = (pdf["mark"][marked].iloc[-1] if marked.any() else now), notes.get(len(reads), [])
         state.update((now, pending))
         _linger(state, idle_ms, pdf["ts"].max())
-        yield pd.DataFrame(out, columns=["device", "ts", "seq", "value", "gas_state", "event"])
+        yield out
 
     timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
     return reads.unionByName(marks).groupBy("device").applyInPandasWithState(
