@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+import unicodedata
 import zlib
 
 import numpy as np
@@ -15,50 +16,86 @@ from pyspark.sql import functions as F
 
 from sigtab.llm import common
 
-_ODD = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]")  # blanks for Python alone, or for other libraries alone
-_MARK = "<|startoftext|>"
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _END = b"\0\0\0\0"
 
 
+def _of(kind: str) -> str:
+    """The characters below U+0180 of a Unicode category, escaped for a set."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+_LETTERS, _DIGITS = _of("L"), _of("N")
+_BLANKS = "".join(re.escape(chr(c)) for c in range(0x180) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
+#: How the tokenizer's file cuts a text into parts, for characters below U+0180; the second one for texts without an apostrophe.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+").findall
+_PLAIN_PARTS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+").findall
+_HIGH = re.compile("[^\x00-\u017f]").search
+#: Python alone takes these for blanks, or other libraries alone.
+_ODD = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]").search
+
+
+def _byte_letters() -> list[str]:
+    """The visible character that stands for each byte: printable ones for themselves, the rest in order from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. The tokenizer never looks beyond a blank, so each distinct word is encoded once."""
+    """Token ids of texts as little-endian 32-bit bytes, the same as the tokenizer's own.
+
+    Merges never cross the parts that the tokenizer's pattern cuts, so each distinct part is encoded once. Below U+0180 lower-casing
+    needs no context and nothing composes, so such texts are cut here; words with other characters go to the tokenizer as a whole
+    (it never looks beyond a blank), as do texts with its special tokens or odd blanks.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-        self.mark = self.tokenizer.token_to_id(_MARK)
+        self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
+        self.parts, self.words = {}, {}
 
-    def _plain(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], into: dict) -> None:
-        odd = [w for w in words if _MARK in w] if self.mark is not None else words
-        into.update((w, self._plain(w)) for w in odd)
-        if self.mark is None:
-            return
-        rest = [w for w in words if _MARK not in w]
-        for at in range(0, len(rest), 2000):
-            some = rest[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(some), add_special_tokens=False).ids, "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            into.update((w, (x if k == 0 else x[1:]).tobytes()) for k, (w, x) in enumerate(zip(some, parts, strict=True)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if _ODD.search(t) else t.split() for t in texts]
-        new = set().union(*[w for w in words if w]).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = set().union(*[w for w in words if w])
-        own = {}
-        self._learn(sorted(w for w in new if len(w) > 200), own)
-        self._learn([w for w in new if len(w) <= 200], self.known)
-        if not own:
-            return [self._plain(t) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words)]
-        return [self._plain(t) if w is None else b"".join([own.get(x) or self.known.get(x, b"") for x in w]) for t, w in zip(texts, words)]
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isalpha() else "".join([self.letters[b] for b in part.encode()])
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+
+    def _low(self, text: str) -> bytes:
+        found = (_PARTS if "'" in text else _PLAIN_PARTS)(text.lower())
+        known = self.parts
+        try:
+            return b"".join([known[x] for x in found])
+        except KeyError:
+            if len(known) > self.most:
+                known.clear()
+            for x in set(found):
+                if x not in known:
+                    known[x] = self._part(x)
+            return b"".join([known[x] for x in found])
+
+    def _word(self, word: str) -> bytes:
+        if not _HIGH(word):
+            return self._low(word)
+        if word not in self.words:
+            if len(self.words) > self.most:
+                self.words.clear()
+            if len(word) > 200:
+                return self._whole(word)
+            self.words[word] = self._whole(word)
+        return self.words[word]
+
+    def encode(self, text: str) -> bytes:
+        if _ODD(text) or "<|" in text and any(x in text for x in _SPECIAL):
+            return self._whole(text)
+        if not _HIGH(text):
+            return self._low(text)
+        return b"".join(map(self._word, text.split()))
 
 
 def _encoder(path: str) -> Encoder:
@@ -76,13 +113,13 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, text: str = "text", key
     """
 
     def cut(batches):
-        item = TaskContext.get().partitionId() << 40
+        item, encoder = TaskContext.get().partitionId() << 40, _encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 rows, places, lengths, sums = [], [], [], []
-                for k, ids in enumerate(_encoder(path).encode([t or "" for t in some.column(text).to_pylist()])):
-                    ids = memoryview(ids + _END)
+                for k, t in enumerate(some.column(text).to_pylist()):
+                    ids = memoryview(encoder.encode(t or "") + _END)
                     for start in range(0, len(ids), 4 * room):
                         part = ids[start : start + 4 * room]
                         rows.append(k)
