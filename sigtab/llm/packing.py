@@ -137,7 +137,8 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, text: str = "text", key
 def _sweep(batches):
     """Walk from large to small through places and items: an item takes the latest place that is still free.
 
-    Emits matched items (state 0: a item, b bin), then what is left, numbered: items that found no place (1), and places (2) from the last on.
+    Emits matched items (state 0), then what is left, numbered: items that found no place (1), and places (2) from the last on;
+    last a row (3) with how many of both are left.
     """
     part, free, state, ids, bins, length, rank, waiting = TaskContext.get().partitionId(), [], [], [], [], [], [], 0
 
@@ -169,6 +170,12 @@ def _sweep(batches):
         length += [None] * len(some)
         rank += range(at, at + len(some))
         yield out()
+    state.append(3)
+    ids.append(None)
+    bins.append(None)
+    length.append(waiting)
+    rank.append(len(free))
+    yield out()
 
 
 def _across(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -200,10 +207,8 @@ def _match(items: DataFrame, gaps: DataFrame, events: int, largest: int, smalles
     order = [F.desc("size"), F.asc("is_item"), F.asc("name"), F.asc("k")]
     swept = both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, "part int, state int, item long, bin long, length long, rank long")
     swept = common.stored(swept, "swept")
-    left: dict[int, list[int]] = {}
-    for r in swept.groupBy("part", "state").count().collect():  # three rows for each task of the sweep at most
-        left.setdefault(r["part"], [0, 0, 0])[r["state"]] = r["count"]
-    runs = _across([(p, left[p][1], left[p][2]) for p in sorted(left)])
+    left = swept.where("state = 3").select("part", "length", "rank").collect()  # a row for each task of the sweep
+    runs = _across(sorted((r["part"], r["length"], r["rank"]) for r in left))
     matched = swept.where("state = 0").select("item", "bin", "length")
     waiting = swept.where("state = 1").select("part", "item", "length", "rank")
     if not runs:
@@ -220,17 +225,18 @@ def _match(items: DataFrame, gaps: DataFrame, events: int, largest: int, smalles
 def best_fit(items: DataFrame, room: int = 2048, per_task: int = 200_000) -> DataFrame:
     """item, bin and turn (its place among the items of the bin) for items (item, length from 1 to ``room``), in as few bins as best fit finds.
 
-    Sizes are worked off by class, largest first: over half the room, over a third, over a quarter, then by halves. In each round items
+    Sizes are worked off by class, largest first: over half the room, over a third, over a quarter,
+    then by halves down to a 32nd, then all the rest. In each round items
     of the class and gaps are range-sorted together; a sweep in every range gives each item the smallest place that is free and fits,
     and what is left over is matched between ranges by rank. Gaps shrink, and rounds repeat until no item of the class finds a place;
     for the rest as many empty bins open as their tokens need.
     """
     spark = items.sparkSession
     fitting = F.floor(F.lit(room) / F.col("length")).cast("int")
-    grade = F.when(fitting < 4, fitting).otherwise(F.floor(F.log2(fitting.cast("double")) + 1e-9).cast("int") + 2)
+    grade = F.when(fitting < 4, fitting).otherwise(F.least(F.lit(7), F.floor(F.log2(fitting.cast("double")) + 1e-9).cast("int") + 2))
     items = common.stored(items.select("item", "length", grade.alias("grade")), "items")
     known = {r["grade"]: r for r in items.groupBy("grade").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.max("length").alias("largest"), F.min("length").alias("smallest")).collect()}
-    placed = [items.where("grade = 1").select("item", F.col("item").alias("bin"), F.lit(0).alias("round"))]
+    placed = []
     floor = min((r["smallest"] for r in known.values()), default=1)
     gaps = stored = common.stored(items.where("grade = 1").select(F.col("item").alias("bin"), (F.lit(room) - F.col("length")).alias("gap")).where(F.col("gap") >= floor), "gaps")
     opened, turn = 0, 0
@@ -245,19 +251,18 @@ def best_fit(items: DataFrame, room: int = 2048, per_task: int = 200_000) -> Dat
                 gaps, opened = gaps.unionByName(fresh), opened + offers
             turn += 1
             matched, waiting = _match(waiting, gaps, n + offers, largest, smallest, per_task)
-            used = matched.groupBy("bin").agg(F.sum("length").alias("used"))
-            gaps, old = common.stored(gaps.join(used, "bin", "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where(F.col("gap") >= floor), "gaps"), stored
+            matched = common.stored(matched.withColumn("round", F.lit(turn)), "placed")
+            shrunk = gaps.unionByName(matched.select("bin", (-F.col("length")).alias("gap"))).groupBy("bin").agg(F.sum("gap").alias("gap"))
+            gaps, old = common.stored(shrunk.where(F.col("gap") >= floor), "gaps"), stored
             common.discard(old)
             stored = gaps
-            placed.append(matched.select("item", "bin", F.lit(turn).alias("round")))
+            placed.append(matched._stored_at)
             sizes = waiting.select("length", F.lit(None).cast("long").alias("gap")).unionByName(gaps.where(F.col("gap") >= known[k]["smallest"]).select(F.lit(None).cast("long").alias("length"), "gap"))
             left = sizes.agg(F.count("length").alias("n"), F.sum("length").alias("tokens"), F.max("length").alias("largest"), F.min("length").alias("smallest"), F.count("gap").alias("offers"), F.max("gap").alias("gap")).first()
             n, tokens, largest, smallest = left["n"], left["tokens"], left["largest"], left["smallest"]
             offers = left["offers"] if n and left["gap"] and left["gap"] >= smallest else 0
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
-    return out
+    first = items.where("grade = 1").select("item", F.col("item").alias("bin"), F.lit(0).alias("round"))
+    return first.unionByName(spark.read.schema("item long, bin long, round int").parquet(*placed)) if placed else first
 
 
 def pack(docs: DataFrame, path: str, room: int = 2048, text: str = "text", key: str = "doc_id", per_task: int = 200_000) -> DataFrame:
