@@ -23,7 +23,7 @@ def labels_of(spark, rows):
 
 
 def test_bytes():
-    assert textbytes.folded(arr("Ab,  É9ß\n")).tobytes() == " ab éß ".encode() or textbytes.folded(arr("Ab,  É9ß\n")).tobytes() == " ab é ß ".encode()
+    assert textbytes.folded(arr("Ab,  É9ß\n")).tobytes() == " ab é ß ".encode()
     assert textbytes.codes(arr("abcde"), 4).tolist() == [0x61626364, 0x62636465] and not len(textbytes.codes(arr("abc"), 4))
     assert len(quality.word_hashes(arr(" ab\tc  ab "))) == 3 and quality.word_hashes(arr("ab c ab"))[0] == quality.word_hashes(arr("ab c ab"))[2]
     assert len(quality.word_hashes(arr(""))) == len(quality.word_hashes(arr(" \n"))) == 0
