@@ -67,10 +67,13 @@ def judge(docs: DataFrame, ratios: DataFrame, text: str = "text", key: str = "do
     """
     counted = base_counts(docs.select(F.col(key).alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"), F.col(text).alias("_t")), "_t").drop("_t")
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    places = counted.select("_k", "same", "w", F.struct(*numbers).alias("c"), F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))  # -1 stands for the document
-    grams = places.select("_k", "same", F.when(F.col("at") < 0, F.col("c")).alias("c"), F.explode(F.when(F.col("at") < 0, F.array(F.lit(None).cast("long"))).otherwise(_buckets(F.col("at"), F.col("w"), buckets))).alias("bucket")).where("bucket is not null or c is not null")
+    document = F.col("at") < 0  # the row that stands for the document and carries its counts
+    places = counted.select("_k", "same", "w", *numbers, F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
+    grams = places.select("_k", "same", *[F.when(document, F.col(c)).alias(c) for c in numbers], F.explode(
+        F.when(document, F.array(F.lit(None).cast("long"))).otherwise(_buckets(F.col("at"), F.col("w"), buckets))).alias("bucket")).where("bucket is not null or n_words is not null")
     found = grams.join(F.broadcast(ratios), "bucket", "left")  # a row for each bucket at most
-    each = found.groupBy("_k", "same").agg(F.max("c").alias("c"), F.avg("ratio").alias("mean_ratio"))
-    out = each.select(F.col("_k").alias(key), "c.*", F.coalesce("mean_ratio", F.lit(0.0)).alias("mean_ratio"))
+    # plain numbers, so that the aggregate hashes; a struct would be sorted
+    each = found.groupBy("_k", "same").agg(*[F.max(c).alias(c) for c in numbers], F.avg("ratio").alias("mean_ratio"))
+    out = each.select(F.col("_k").alias(key), *numbers, F.coalesce("mean_ratio", F.lit(0.0)).alias("mean_ratio"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("mean_ratio") >= threshold))
