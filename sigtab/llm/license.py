@@ -32,7 +32,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z in lower case. The Kelvin sign, whose small letter is an ASCII k, is kept apart first."""
-    split = F.split(F.lower(F.replace(text, F.lit("K"), F.lit("Å"))), SEPARATORS)
+    split = F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b"))), SEPARATORS)
     first = F.when(split[0] == "", 2).otherwise(1)  # only the first and the last can be empty
     return F.slice(split, first, F.greatest(F.lit(0), F.size(split) + 1 - first - F.when(F.element_at(split, -1) == "", 1).otherwise(0)))
 
