@@ -102,8 +102,7 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
-    trusted = common.bounded(labels.where("quality = 1").select("doc_id"), F.col("doc_id"), 20_000)
-    return rules.judge(docs, rules.log_ratios(docs, trusted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mean_ratio")
+    return rules.judge_by_others(docs, labels.where("quality = 1").select("doc_id")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mean_ratio")
 
 
 @query

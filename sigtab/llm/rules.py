@@ -9,6 +9,7 @@ from sigtab.llm import common
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+NUMBERS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def words(text: Column) -> Column:
@@ -66,14 +67,57 @@ def judge(docs: DataFrame, ratios: DataFrame, text: str = "text", key: str = "do
     Repeated rows count once; rows of one key with different texts stay apart.
     """
     counted = base_counts(docs.select(F.col(key).alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"), F.col(text).alias("_t")), "_t").drop("_t")
-    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     document = F.col("at") < 0  # the row that stands for the document and carries its counts
-    places = counted.select("_k", "same", "w", *numbers, F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
-    grams = places.select("_k", "same", *[F.when(document, F.col(c)).alias(c) for c in numbers], F.explode(
+    places = counted.select("_k", "same", "w", *NUMBERS, F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
+    grams = places.select("_k", "same", *[F.when(document, F.col(c)).alias(c) for c in NUMBERS], F.explode(
         F.when(document, F.array(F.lit(None).cast("long"))).otherwise(_buckets(F.col("at"), F.col("w"), buckets))).alias("bucket")).where("bucket is not null or n_words is not null")
     found = grams.join(F.broadcast(ratios), "bucket", "left")  # a row for each bucket at most
     # plain numbers, so that the aggregate hashes; a struct would be sorted
-    each = found.groupBy("_k", "same").agg(*[F.max(c).alias(c) for c in numbers], F.avg("ratio").alias("mean_ratio"))
-    out = each.select(F.col("_k").alias(key), *numbers, F.coalesce("mean_ratio", F.lit(0.0)).alias("mean_ratio"))
+    each = found.groupBy("_k", "same").agg(*[F.max(c).alias(c) for c in NUMBERS], F.avg("ratio").alias("mean_ratio"))
+    return _decided(each, key, threshold, least_words, most_repeated)
+
+
+def _decided(each: DataFrame, key: str, threshold: float, least_words: int, most_repeated: int) -> DataFrame:
+    """The result columns from _k, the counts and mean_ratio (null without any n-gram)."""
+    out = each.select(F.col("_k").alias(key), *NUMBERS, F.coalesce("mean_ratio", F.lit(0.0)).alias("mean_ratio"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("mean_ratio") >= threshold))
+
+
+def _all_buckets(w: Column, buckets: int) -> Column:
+    """The buckets of all words and word pairs of a text."""
+    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(buckets)).cast("int"))
+    return F.concat(single, pairs)
+
+
+def judge_by_others(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", *, threshold: float = -0.15, buckets: int = 1 << 16, prior: float = 5.0, least_words: int = 50, most_repeated: int = 50, broadcast_keys: int = 500_000) -> DataFrame:
+    """Like ``judge``, but each text is judged by the n-grams of the other texts only, and trusted counts are backed off to the corpus.
+
+    The ratio of an n-gram is log((g + prior) / (e + prior)): g trusted texts' occurrences, and e as many as would be expected there if
+    trusted texts were like the corpus. ``prior`` occurrences at the corpus' share stand beside both, so that an n-gram too rare to
+    be expected among the trusted ones speaks with about 0. The text's own row is taken out of the corpus, and out of the trusted counts if it
+    is trusted; so a trusted text is judged like any other. All rows of ``trusted`` (keys) count; up to ``broadcast_keys`` of them are
+    broadcast, more are joined as Spark chooses.
+    """
+    good = trusted.select(F.col(key).alias("_g")).where("_g is not null").distinct()
+    good = common.stored(good, "trusted")
+    good = F.broadcast(good) if good.count() <= broadcast_keys else good
+    texts = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).join(good, F.col("_k") == F.col("_g"), "left").select("_k", "_t", F.when(F.col("_g").isNotNull(), 1).otherwise(0).alias("good"))
+    grams = texts.select("good", words(F.col("_t")).alias("w")).select("good", F.explode(_all_buckets(F.col("w"), buckets)).alias("bucket"))
+    counts = common.stored(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("g")), "buckets")
+    sums = counts.agg(F.sum("n"), F.sum("g")).first()
+    all_, own = float(sums[0] or 0), float(sums[1] or 0)
+    counted = base_counts(texts.withColumn("same", F.xxhash64("_t")), "_t").drop("_t")
+    sorted_ = counted.select("_k", "same", "good", *NUMBERS, F.sort_array(_all_buckets(F.col("w"), buckets)).alias("_s"))
+    begins = sorted_.withColumn("_b", F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (F.get("_s", i - 1) != x), i).otherwise(-1)), lambda i: i >= 0))
+    own_counts = F.transform("_b", lambda p, k: F.struct(F.get("_s", p).alias("bucket"), (F.coalesce(F.get("_b", k + 1), F.size("_s")) - p).alias("c")))
+    document = F.array(F.struct(F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("c")))  # stands for the document and carries its counts
+    items = begins.select("_k", "same", "good", F.size("_s").alias("size"), *NUMBERS, F.explode(F.concat(document, own_counts)).alias("i"))
+    rows = items.select("_k", "same", "good", "size", F.col("i.bucket").alias("bucket"), F.col("i.c").alias("c"), *[F.when(F.col("i.bucket").isNull(), F.col(c)).alias(c) for c in NUMBERS])
+    met = rows.join(F.broadcast(counts), "bucket", "left")  # a row for each bucket at most
+    there = F.greatest(F.lit(0), F.col("g") - F.col("good") * F.col("c"))
+    expected = (own - F.col("good") * F.col("size")) * F.greatest(F.lit(0), F.col("n") - F.col("c")) / F.greatest(F.lit(1.0), all_ - F.col("size"))
+    ratio = F.log((there + prior) / (expected + prior))
+    each = met.groupBy("_k", "same").agg(*[F.max(c).alias(c) for c in NUMBERS], (F.sum(F.col("c") * ratio) / F.sum("c")).alias("mean_ratio"))
+    return _decided(each, key, threshold, least_words, most_repeated)
