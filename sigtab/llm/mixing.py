@@ -1,9 +1,11 @@
-"""Mixing to target weights: soft domain membership by a naive Bayes table, and document rates by projected gradients."""
+"""Mixing to target weights: soft domain membership by a naive Bayes table, and document rates by Newton steps on the dual."""
 
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,53 +76,74 @@ def calibrate(examples: DataFrame, share: list[float], rounds: int = 30, toleran
     return shift
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, keep: float = 1e-4, tolerance: float = 1e-3, rounds: int = 100, write_every: int = 10) -> tuple[DataFrame, list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], *, keep: float = 1e-4, tolerance: float = 1e-3, least_keep: float = 1e-10) -> tuple[DataFrame, list[float]]:
     """Add rate to ``members`` (copies, tokens, p), so that the expected tokens of each domain, sum of copies · tokens · rate · p, match ``targets``.
 
-    Projected gradient steps on the squared deviations relative to the targets, plus ``keep`` times the squared distance of the rates
-    from 1 (which picks the mildest rates among those that match). Each step is one sum over all rows; rates stay at 0 or above.
-    Stops when every domain with a target is within ``tolerance`` of it, or a step improves the squares by less than a thousandth; also returns the totals reached.
+    The mildest rates at 0 or above that match (least squared distance from 1, by tokens) are max(0, 1 + p · a) with one multiplier a for each
+    domain. Newton steps on the dual find the multipliers: each is one sum over all rows, of the totals and of the domain by domain products
+    of the rows above 0. ``keep`` weighs the distance from 1 against the squared deviations; it falls a hundredfold until every domain is
+    within ``tolerance`` of its target (of a thousandth of all tokens for smaller targets), or no longer halves the gap, or is at ``least_keep``, where no rates match.
+    Each weight ends at the optimum (deviations balance the multipliers), else ArithmeticError. Also returns the totals reached.
     Without any token all rates are 1.
     """
     n, mass = len(targets), F.col("copies") * F.col("tokens")
+    whole = members.agg(F.coalesce(F.sum(mass), F.lit(0)).cast("double")).first()[0]
+    if not whole:
+        return members.withColumn("rate", F.lit(1.0)), [0.0] * n
+    goal = np.array(targets, float) / whole
+    scale, allowed = np.maximum(goal, 1e-2), tolerance * np.maximum(goal, 1e-3)
 
     def p(i):
         return F.col("p")[i]
 
-    def totals(df):
-        row = df.agg(*[F.coalesce(F.sum(mass * F.col("rate") * p(i)), F.lit(0.0)).alias(f"t{i}") for i in range(n)]).first()
-        return [row[i] for i in range(n)]
-
-    gram = members.agg(F.coalesce(F.sum(mass), F.lit(0)).cast("double"), *[F.coalesce(F.sum(mass * p(i) * p(j)), F.lit(0.0)) for i in range(n) for j in range(n)]).first()
-    whole = gram[0]
-    state = members.withColumn("rate", F.lit(1.0))
-    if not whole:
-        return state, [0.0] * n
-    goal = [max(t, 1e-6 * whole) for t in targets]  # a domain without a target counts as one of a millionth
-    step = 1 / (max(sum(gram[1 + i * n + j] / (goal[i] * goal[j]) ** 0.5 for j in range(n)) for i in range(n)) + keep)
-    now, old = totals(state), None
-    for k in range(1, rounds + 1):
-        off = [(now[i] - goal[i]) / goal[i] for i in range(n)]
-        worst = max(abs(x) for i, x in enumerate(off) if targets[i] > 0) if any(t > 0 for t in targets) else 0.0
-        error = sum((a - b) ** 2 / b for a, b in zip(now, goal))
-        if worst <= tolerance or old is not None and old - error < 1e-3 * old:
-            break
-        old = error
-        pull = F.lit(0.0)
+    def rate(a):
+        out = F.lit(1.0)
         for i in range(n):
-            pull = pull + p(i) * F.lit(step * off[i])
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") * F.lit(1 - step * keep) + F.lit(step * keep) - pull))
-        if k % write_every == 0:
-            state = common.stored(state, "rates")
-        now = totals(state)
-    return state, now
+            out = out + p(i) * F.lit(float(a[i]))
+        return F.greatest(F.lit(0.0), out)
+
+    def sums(a):
+        """Totals, products of the rows above 0 and the sum of squared rates, as shares of all tokens."""
+        rated = members.select(mass.alias("m"), rate(a).alias("rate"), "p")
+        above = F.when(F.col("rate") > 0, F.col("m")).otherwise(0)
+        row = rated.agg(F.sum(F.col("m") * F.col("rate") ** 2), *[F.sum(F.col("m") * F.col("rate") * p(i)) for i in range(n)],
+                        *[F.sum(above * p(i) * p(j)) for i in range(n) for j in range(n)]).first()
+        got = np.array(row, float) / whole
+        return got[1 : 1 + n], got[1 + n :].reshape(n, n), got[0]
+
+    a, before = np.zeros(n), math.inf
+    totals, gram, squares = sums(a)
+    while True:
+        def height(a, squares):  # the dual, to be lowered
+            return squares / 2 - a @ goal + keep / 2 * (scale * a) @ a
+
+        while True:
+            slope = totals - goal + keep * scale * a
+            if (np.abs(slope) <= np.maximum(0.01 * allowed, 1e-14 * np.abs(a).max())).all():  # the second is what a float can tell
+                break
+            step, part = -np.linalg.solve(gram + keep * np.diag(scale), slope), 1.0
+            while True:
+                there = sums(a + part * step)
+                if height(a + part * step, there[2]) <= height(a, squares) + 1e-13 * abs(height(a, squares)) + 1e-4 * part * (slope @ step) + 1e-13:
+                    break
+                part /= 4
+                if part < 1e-12:
+                    raise ArithmeticError(f"no step lowers the dual; totals {(totals * whole).tolist()}, targets {list(targets)}")
+            a = a + part * step
+            totals, gram, squares = there
+        gap = (np.abs(totals - goal) / allowed).max()
+        if gap <= 1 or gap > before / 2 or keep / 100 < least_keep * 0.99:
+            break
+        keep, before = keep / 100, gap
+    return members.withColumn("rate", rate(a)), (totals * whole).tolist()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", text: str = "text", key: str = "doc_id", *, anchor: str | None = None, rows: int = 12_000) -> DataFrame:
     """key, same (hash of the text), copies, tokens, p (map from domain to posterior) and rate for each distinct key and text.
 
     ``targets`` are the domains' wanted shares of all tokens; they need not add up to 1. The total is that of the table, or with an ``anchor``
-    what leaves this domain as large as it is. ``labels`` (key, domain) is the labelled table the classifier learns from.
+    what leaves this domain as large as it is. The result's attributes ``wanted`` and ``reached`` map domains to expected tokens; a gap that no
+    rates close is warned of. ``labels`` (key, domain) is the labelled table the classifier learns from.
     Null texts count as empty and weigh nothing.
     """
     domains = sorted(targets)
@@ -134,8 +157,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
     sizes = members.agg(F.coalesce(F.sum(mass), F.lit(0)).cast("double").alias("all"), *[F.coalesce(F.sum(mass * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(domains))]).first()
     whole = sum(targets.values())
     unit = sizes["all"] / whole if anchor is None else sizes[1 + domains.index(anchor)] / targets[anchor]
-    rated, _ = fit_rates(members, [unit * targets[d] for d in domains])
-    return rated.withColumn("p", F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), "p"))
+    wanted = [unit * targets[d] for d in domains]
+    rated, reached = fit_rates(members, wanted)
+    out = rated.withColumn("p", F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), "p"))
+    out.wanted, out.reached = dict(zip(domains, wanted)), dict(zip(domains, reached))
+    missed = [f"{d} {t:.0f} of {w:.0f}" for d, w, t in zip(domains, wanted, reached) if abs(t - w) > 1e-3 * max(w, 1e-3 * sizes["all"])]
+    if missed:
+        warnings.warn(f"no rates meet all targets; expected tokens: {', '.join(missed)}", stacklevel=2)
+    return out
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
