@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DELIMITERS = [",", "\t", ";", "|"]
+REJECTED = "_rejected_line"
 # bytes that code page 874 leaves undefined, as latin-1 characters
 NOT_CP874 = "[\u0081-\u0084\u0086-\u0090\u0098-\u009fÛ-Þü-ÿ]"
 
@@ -32,10 +33,11 @@ def _thai(texts: list[str] | None = None, column: Column | None = None):
     return [t.translate({ord(a): b for a, b in pairs}) for t in texts]
 
 
-def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-               schema=None) -> DataFrame:
-    """Delimited text with a header. The separator follows the extension or the header line;
-    malformed lines are skipped and no row limit applies. Give ``schema`` to spare the type pass."""
+def split_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
+                schema=None) -> tuple[DataFrame, DataFrame]:
+    """The rows of delimited text with a header, and the rejected lines (``line``): those with fewer or more fields than the header or,
+    under ``schema``, with a value of another type. The separator follows the extension or the header line; no row limit applies.
+    Give ``schema`` to spare the type pass. Every line is in one of the two tables, whatever columns are selected."""
     if sep is None:
         head = spark.read.text(path).first()
         line = head["value"] if head else ""
@@ -43,16 +45,30 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding:
     encoding = encoding or text_encoding(spark, path)
     thai = encoding.lower() in ("cp874", "x-windows-874")
     reader = (
-        spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED")
-        .option("encoding", "ISO-8859-1" if thai else encoding)
+        spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", REJECTED).option("encoding", "ISO-8859-1" if thai else encoding)
     )
-    raw = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    kinds = reader.csv(path).schema if schema is None else T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not kinds.fields:
+        return reader.schema(kinds).csv(path), spark.createDataFrame([], "line string")
+    whole = reader.schema(T.StructType([*kinds.fields, T.StructField(REJECTED, T.StringType())])).csv(path)
+    # Spark refuses to read the rejected lines alone, so both tables look at a second column
+    read = F.length(F.coalesce(F.col(f"`{kinds.fields[0].name}`").cast("string"), F.lit(""))) >= 0
+    raw = whole.where(F.col(REJECTED).isNull() & read).drop(REJECTED)
+    line = F.col(REJECTED)
+    bad = whole.where(line.isNotNull() & read).select((_thai(column=line) if thai else line).alias("line"))
     if thai:
         raw = raw.toDF(*_thai(raw.columns))
         raw = raw.withColumns({f.name: _thai(column=F.col(f"`{f.name}`")) for f in raw.schema.fields if isinstance(f.dataType, T.StringType)})
     if schema is not None:
-        return raw
-    return infer_types(raw.toDF(*clean_header([c.lstrip("\ufeff") for c in raw.columns])))
+        return raw, bad
+    return infer_types(raw.toDF(*clean_header([c.lstrip("\ufeff") for c in raw.columns]))), bad
+
+
+def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
+               schema=None) -> DataFrame:
+    """The rows of ``split_table``, without the rejected lines."""
+    return split_table(spark, path, sep, encoding, schema)[0]
 
 
 def flatten(df: DataFrame) -> DataFrame:
