@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtab.llm import chat, common, language, license, mixing, packing, quality, rules, simhash, syncmer, toxicity
+from sigtab.llm import archive, chat, common, language, license, mixing, negatives, packing, quality, rules, simhash, syncmer, toxicity, whiten
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,45 @@ TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(common.read(spark, sf_dir, "documents"), mixing.domains_of(common.read(spark, sf_dir, "labels")), TARGETS)
     return mixed.select("doc_id", "tokens", *[F.col("p")[d].alias(f"p_{d}") for d in sorted(TARGETS)], "rate")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whiten.whiten(common.read(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+SQL["op12_hard_negatives"] = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS id, b.label AS label, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> anchor_label AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = archive.archive(common.read(spark, sf_dir, "pages"), seconds=F.lit(946684800) + F.col("page_id"))
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture")
+
+
+SQL["op13_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, CASE WHEN regexp_matches(url, '[\x00-\x20\x7F]') THEN url_encode(url) ELSE url END AS u FROM pages),
+d AS (SELECT page_id, t, u, sha1(t) AS h, regexp_replace(lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1)), '^.*@|:[0-9]*$', '', 'g') AS host FROM p),
+k AS (SELECT page_id, t, h, min(page_id) OVER (PARTITION BY h) AS first, strftime(to_timestamp(946684800 + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured,
+  CASE WHEN regexp_matches(u, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^#]*)', 1) ELSE coalesce(u, '') END AS url_key FROM d)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url_key, captured,
+  row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id) AS capture
+FROM k
+"""
