@@ -36,8 +36,8 @@ def format_chat(messages: DataFrame, key: str = "conv_id", turn: str = "turn", r
     """One row for each conversation: key, n_turns, formatted, loss_spans, attachments, expanded_tokens.
 
     ``parts`` is an array of struct(kind, text, ref, units). Each part is visited by its kind: a text is escaped; an
-    image, audio or document becomes a placeholder such as ``<|image|>`` and an entry of ``attachments`` (turn, kind, ref,
-    tokens), in the order of the placeholders; tokens are the units (null: one) times the rate, rounded up. A kind
+    image, audio or document becomes a placeholder such as ``<|part:image|>``, which no control string equals whatever the kind, and an entry of ``attachments`` (turn, kind, ref,
+    tokens), in the order of the placeholders; tokens are the units (null: one; negative or NaN: none) times the rate, rounded up. A kind
     without a rate becomes a placeholder of no tokens.
     ``loss_spans`` are struct(start, end) in characters from 0: every text part of a turn of ``loss_roles``.
 
@@ -52,10 +52,11 @@ def format_chat(messages: DataFrame, key: str = "conv_id", turn: str = "turn", r
         for k, v in rates.items():
             rate = F.when(kind(p) == k, F.lit(float(v))).otherwise(rate)
         text = kind(p) == "text"
+        units = F.when(F.isnan(p["units"]) | (p["units"] < 0), 0.0).otherwise(F.coalesce(p["units"], F.lit(1.0)))
         return F.struct(
-            F.when(text, escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(kind(p)), F.lit("|>"))).alias("out"),
+            F.when(text, escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|part:"), escape(kind(p)), F.lit("|>"))).alias("out"),
             (text & name.isin(*loss_roles)).alias("loss"),
-            F.when(~text, F.struct(F.col(turn).alias("turn"), kind(p).alias("kind"), p["ref"].alias("ref"), F.ceil(F.coalesce(p["units"], F.lit(1.0)) * rate).alias("tokens"))).alias("attachment"))
+            F.when(~text, F.struct(F.col(turn).alias("turn"), kind(p).alias("kind"), p["ref"].alias("ref"), F.ceil(units * rate).alias("tokens"))).alias("attachment"))
 
     def mark(text: Column) -> Column:
         return F.struct(text.alias("out"), F.lit(False).alias("loss"), F.lit(None).cast("struct<turn:bigint,kind:string,ref:string,tokens:bigint>").alias("attachment"))

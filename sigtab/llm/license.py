@@ -51,8 +51,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drift: int
 
     Each rolling pair and triple of words meets the templates (a fixed list, broadcast) by its hash, and is compared word by word.
     Matches of a template vote for a diagonal, the word at which the template would begin. A phrase stands where all its pairs vote
-    for one diagonal. For a notice, diagonals up to ``drift`` words apart are merged (words may be missing or added), and the span counts
-    if the matched triples cover a share ``covered`` of its words within ``stretch`` times its length.
+    for one diagonal. A notice stands where the triples of one diagonal cover a share ``covered`` of its words; so each of any number of
+    repeats in a row counts. Other diagonals of a notice, up to ``drift`` words (at most half the notice) apart, are merged, as words may be missing
+    or added, and the span counts if the matched triples together cover that share within ``stretch`` times its length.
     score is the largest such share (1 for a phrase), 0 without any. ``spans`` are struct(label, start, end), in words, end excluded.
     A null or empty text has no word. Repeated rows count once; rows of one key with different texts stay apart.
     """
@@ -70,15 +71,20 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drift: int
     votes = met.select("key", "same", "n", "at", F.explode_outer(real).alias("m")).where((F.col("at") == -1) | F.col("m").isNotNull())
     diagonal = votes.groupBy("key", "same", "m.template", (F.col("at") - F.col("m.tpos")).alias("begin")).agg(F.max("n").alias("n"), F.collect_set("m.tpos").alias("tpos"))
     placed = diagonal.join(F.broadcast(known), "template", "left")
-    by = Window.partitionBy("key", "same", "template").orderBy("begin")
-    apart = F.col("base") | F.coalesce(F.col("begin") - F.lag("begin").over(by) > drift, F.lit(True))
-    islands = placed.withColumn("island", F.sum(F.when(apart, 1).otherwise(0)).over(by))
     k = F.when(F.col("base"), 2).otherwise(3)
+
+    def share_of(tpos: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(tpos, lambda t: F.sequence(t, t + k - 1))))) / F.col("length")
+
+    placed = placed.withColumn("alone", F.col("base") | F.coalesce(share_of(F.col("tpos")) >= covered, F.lit(False)))  # a place of its own
+    by = Window.partitionBy("key", "same", "template", "alone").orderBy("begin")
+    near = F.least(F.lit(drift), F.floor((F.col("length") - 1) / 2))
+    apart = F.col("alone") | F.coalesce(F.col("begin") - F.lag("begin").over(by) > near, F.lit(True))
+    islands = placed.withColumn("island", F.struct("alone", F.sum(F.when(apart, 1).otherwise(0)).over(by)))
     spans = islands.groupBy("key", "same", "template", "label", "base", "length", "island").agg(
         F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"),
         F.min(F.col("begin") + F.array_min("tpos")).alias("start"), F.max(F.col("begin") + F.array_max("tpos") + k).alias("end"))
-    share = F.size(F.array_distinct(F.flatten(F.transform("tpos", lambda t: F.sequence(t, t + k - 1))))) / F.col("length")
-    verified = spans.withColumn("share", share).withColumn("good", F.col("template").isNotNull() & F.when(F.col("base"), F.col("share") == 1).otherwise((F.col("share") >= covered) & (F.col("end") - F.col("start") <= stretch * F.col("length"))))
+    verified = spans.withColumn("share", share_of(F.col("tpos"))).withColumn("good", F.col("template").isNotNull() & F.when(F.col("base"), F.col("share") == 1).otherwise((F.col("share") >= covered) & (F.col("end") - F.col("start") <= stretch * F.col("length"))))
     base = F.col("good") & F.col("base")
 
     def joined(of: Column) -> Column:

