@@ -45,19 +45,21 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, the same as the tokenizer's own.
 
-    Merges never cross the parts that the tokenizer's pattern cuts, so each distinct part is encoded once. Below U+0180 lower-casing
-    needs no context and nothing composes, so such texts are cut here; words with other characters go to the tokenizer as a whole
-    (it never looks beyond a blank), as do texts with its special tokens or odd blanks.
+    The tokenizer never looks beyond a blank, so each distinct word between blanks is looked up whole and encoded once. Merges never cross the
+    parts that the tokenizer's pattern cuts; below U+0180 lower-casing needs no context and nothing composes, so new words are cut
+    here into parts, each of them encoded once. Words with other characters go to the tokenizer as they are, as do texts with its
+    special tokens or odd blanks. At most 2 * ``most`` words and parts each are kept: a full table becomes the older one,
+    and what is met again moves on to the new one, so that frequent words stay.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
-        self.parts, self.words = {}, {}
+        self.parts, self.words, self.old_parts, self.old_words = {}, {}, {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,36 +68,39 @@ class Encoder:
         shown = part if part.isascii() and part.isalpha() else "".join([self.letters[b] for b in part.encode()])
         return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
 
-    def _low(self, text: str) -> bytes:
-        found = (_PARTS if "'" in text else _PLAIN_PARTS)(text.lower())
+    def _low(self, word: str) -> bytes:
+        found = (_PARTS if "'" in word else _PLAIN_PARTS)(word.lower())
         known = self.parts
-        try:
-            return b"".join([known[x] for x in found])
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for x in set(found):
-                if x not in known:
-                    known[x] = self._part(x)
-            return b"".join([known[x] for x in found])
-
-    def _word(self, word: str) -> bytes:
-        if not _HIGH(word):
-            return self._low(word)
-        if word not in self.words:
-            if len(self.words) > self.most:
-                self.words.clear()
-            if len(word) > 200:
-                return self._whole(word)
-            self.words[word] = self._whole(word)
-        return self.words[word]
+        for x in found:
+            if x not in known:
+                ids = self.old_parts.get(x)
+                known[x] = self._part(x) if ids is None else ids
+        return known[found[0]] if len(found) == 1 else b"".join([known[x] for x in found])
 
     def encode(self, text: str) -> bytes:
         if _ODD(text) or "<|" in text and any(x in text for x in _SPECIAL):
             return self._whole(text)
-        if not _HIGH(text):
-            return self._low(text)
-        return b"".join(map(self._word, text.split()))
+        words, known = text.split(), self.words
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            pass
+        if len(known) > self.most:
+            self.words, self.old_words = {}, known
+            known = self.words
+        if len(self.parts) > self.most:
+            self.parts, self.old_parts = {}, self.parts
+        out = []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = self.old_words.get(w)
+                if ids is None:
+                    ids = self._whole(w) if _HIGH(w) else self._low(w)
+                if len(w) <= 200:
+                    known[w] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 def _encoder(path: str) -> Encoder:
