@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import re
+import struct
 import sys
 import types
 import unicodedata
@@ -66,10 +68,12 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         shown = part if part.isascii() and part.isalpha() else "".join([self.letters[b] for b in part.encode()])
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _low(self, word: str) -> bytes:
-        found = (_PARTS if "'" in word else _PLAIN_PARTS)(word.lower())
+        low = word.lower()
+        found = (low,) if low.isascii() and low.isalpha() else (_PARTS if "'" in low else _PLAIN_PARTS)(low)
         known = self.parts
         for x in found:
             if x not in known:
@@ -80,26 +84,22 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if _ODD(text) or "<|" in text and any(x in text for x in _SPECIAL):
             return self._whole(text)
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            self.words, self.old_words = {}, known
-            known = self.words
+        if len(self.words) > self.most:
+            self.words, self.old_words = {}, self.words
         if len(self.parts) > self.most:
             self.parts, self.old_parts = {}, self.parts
-        out = []
-        for w in words:
-            ids = known.get(w)
+        if text.isascii() or not _HIGH(text):
+            text = text.lower()
+        words, known = text.split(), self.words
+        out = list(map(known.get, words))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = words[k]
+            ids = known.get(w) or self.old_words.get(w)
             if ids is None:
-                ids = self.old_words.get(w)
-                if ids is None:
-                    ids = self._whole(w) if _HIGH(w) else self._low(w)
-                if len(w) <= 200:
-                    known[w] = ids
-            out.append(ids)
+                ids = self._whole(w) if _HIGH(w) else self._low(w)
+            if len(w) <= 200:
+                known[w] = ids
+            out[k] = ids
         return b"".join(out)
 
 
@@ -119,6 +119,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, text: str = "text", key
 
     def cut(batches):
         item, encoder = TaskContext.get().partitionId() << 40, _encoder(path)
+        gc.freeze()  # the encoder's tables hold no cycles
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
