@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.common import query
 from catalog.tables import SERIES
+from sigtab.functions import filters
 from sigtab.operators import signal, spectral
 
 IDX = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1"
@@ -44,7 +46,18 @@ def g3(t):
     return signal.median_filter(t.events, "value", 5, **SERIES, name="y").select("event_id", "y")
 
 
-@query("g4_gaussian_smooth")
+def _values(taps) -> str:
+    return ", ".join(f"({k}, {float(c)!r}::DOUBLE)" for k, c in enumerate(taps))
+
+
+_G4 = filters.gaussian_taps(2.0)
+
+
+@query("g4_gaussian_smooth", f"""
+WITH i AS (SELECT event_id, user_id, value, {IDX} AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), k AS (SELECT * FROM (VALUES {_values(_G4)}) AS v(k, c)),
+     p AS (SELECT event_id, user_id, n, c, ((i + k - {len(_G4) // 2}) % (2 * n) + 2 * n) % (2 * n) AS m FROM i, k)
+SELECT p.event_id, sum(p.c * i.value) AS y FROM p JOIN i ON i.user_id = p.user_id AND i.i = CASE WHEN m < p.n THEN m ELSE 2 * p.n - 1 - m END GROUP BY 1
+""", floats="y")
 def g4(t):
     return signal.gaussian_smooth(t.events.select("event_id", "user_id", "ts", "value"), "value", 2.0, **SERIES, name="y").select("event_id", "y")
 
@@ -54,12 +67,41 @@ def g5(t):
     return signal.savitzky_golay(t.events.select("event_id", "user_id", "ts", "value"), "value", 11, 3, **SERIES, name="y").select("event_id", "y")
 
 
-@query("g6_butterworth")
+def _zero_phase_sql(kind: str, cutoff, degree: int, by: str) -> str:
+    """Both runs as sums with the impulse response, over the oddly extended series whose first value has lasted forever."""
+    b, a = filters.butterworth(degree, kind, cutoff, 1.0)
+    pad, impulse = 3 * max(len(a), len(b)), np.zeros(400)
+    past = np.zeros(len(a))  # the difference equation, term by term
+    for t in range(400):
+        new = (b[t] if t < len(b) else 0.0) - a[1:] @ past[: len(a) - 1]
+        impulse[t], past = new, np.concatenate([[new], past[:-1]])
+    taps = impulse[: int(np.flatnonzero(np.abs(impulse) > 1e-13).max()) + 1]
+    rest = float(b.sum() / a.sum())
+
+    def run(source: str, out: str, at: str, sign: int) -> str:
+        # {at}: where the run starts; taps that reach beyond it see the first value
+        return f"""{out} AS (SELECT s.{by}, s.i, s.n, s.pad, sum(k.c * coalesce(o.v, 0)) + ({rest!r} - sum(CASE WHEN o.v IS NOT NULL THEN k.c ELSE 0 END)) * any_value(f.v) AS v
+  FROM {source} s CROSS JOIN k LEFT JOIN {source} o ON o.{by} = s.{by} AND o.i = s.i - {sign} * k.k JOIN {source} f ON f.{by} = s.{by} AND f.i = {at} GROUP BY 1, 2, 3, 4)"""
+
+    return f"""
+WITH k AS (SELECT * FROM (VALUES {_values(taps)}) AS v(k, c)), e AS (SELECT *, 0 AS one FROM events),
+x AS (SELECT event_id, {by}, value AS v, row_number() OVER (PARTITION BY {by} ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM e),
+p AS (SELECT *, least({pad}, n - 1) AS pad FROM x),
+u AS (SELECT {by}, i, n, pad, v FROM p
+  UNION ALL SELECT p.{by}, -p.i, p.n, p.pad, 2 * f.v - p.v FROM p JOIN p f ON f.{by} = p.{by} AND f.i = 0 WHERE p.i BETWEEN 1 AND p.pad
+  UNION ALL SELECT p.{by}, 2 * (p.n - 1) - p.i, p.n, p.pad, 2 * f.v - p.v FROM p JOIN p f ON f.{by} = p.{by} AND f.i = p.n - 1 WHERE p.i BETWEEN p.n - 1 - p.pad AND p.n - 2),
+{run("u", "y", "-s.pad", 1)},
+{run("y", "z", "s.n - 1 + s.pad", -1)}
+SELECT p.event_id, z.v AS y FROM p JOIN z USING ({by}, i)
+"""
+
+
+@query("g6_butterworth", _zero_phase_sql("lowpass", 0.2, 4, "user_id"), floats="y")
 def g6(t):
     return signal.butterworth_filter(t.events.select("event_id", "user_id", "ts", "value"), "value", 1.0, "lowpass", 0.2, 4, **SERIES, name="y").select("event_id", "y")
 
 
-@query("g6_butterworth_band_one_series")
+@query("g6_butterworth_band_one_series", _zero_phase_sql("bandpass", (0.1, 0.3), 2, "one"), floats="y")
 def g6b(t):
     return signal.butterworth_filter(t.events.select("event_id", "ts", "value"), "value", 1.0, "bandpass", (0.1, 0.3), 2, None,
                                      ["ts", "event_id"], "y").select("event_id", "y")

@@ -48,9 +48,19 @@ def _state(b: np.ndarray, a: np.ndarray):
     return A, B, b[0], np.linalg.solve(np.eye(m) - A, B)
 
 
-def run_filter(b, a, v: np.ndarray, block: int = 128) -> np.ndarray:
-    """The recursive filter over ``v``, started as if the first value had lasted forever; in blocks."""
-    A, B, d, rest = _state(b, a)
+def step_matrix(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """What one sample does to the state of the filter."""
+    return _state(b, a)[0]
+
+
+def rest_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state after an input of one that has lasted forever."""
+    return _state(b, a)[3]
+
+
+def recurse(b, a, v: np.ndarray, x: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The recursive filter over ``v`` from state ``x`` on, in blocks, and the state at its end."""
+    A, B, d, _ = _state(b, a)
     m = len(A)
     powers = [np.eye(m)]
     for _ in range(block):
@@ -60,7 +70,7 @@ def run_filter(b, a, v: np.ndarray, block: int = 128) -> np.ndarray:
     lag = np.subtract.outer(np.arange(block), np.arange(block))
     respond = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     feed = np.array([powers[block - 1 - k] @ B for k in range(block)]).T
-    x, out = rest * v[0], np.empty(len(v))
+    out = np.empty(len(v))
     whole = len(v) // block * block
     for s in range(0, whole, block):
         u = v[s:s + block]
@@ -69,7 +79,13 @@ def run_filter(b, a, v: np.ndarray, block: int = 128) -> np.ndarray:
     tail = len(v) - whole
     if tail:
         out[whole:] = see[:tail] @ x + respond[:tail, :tail] @ v[whole:]
-    return out
+        x = powers[tail] @ x + feed[:, block - tail:] @ v[whole:]
+    return out, x
+
+
+def run_filter(b, a, v: np.ndarray) -> np.ndarray:
+    """The recursive filter over ``v``, started as if the first value had lasted forever."""
+    return recurse(b, a, v, rest_state(b, a) * v[0])[0]
 
 
 def zero_phase(b, a, v: np.ndarray, pad: int) -> np.ndarray:
@@ -80,12 +96,6 @@ def zero_phase(b, a, v: np.ndarray, pad: int) -> np.ndarray:
     return both[pad: len(both) - pad] if pad > 0 else both
 
 
-def memory(a: np.ndarray) -> int:
-    """Samples after which the response of the denominator is below double precision."""
-    radius = min(float(np.max(np.abs(np.roots(a)))), 1 - 1e-9)
-    return int(60 / -math.log(radius)) + 3 * len(a)
-
-
 def savgol_matrix(window: int, degree: int) -> np.ndarray:
     """Row r gives the weights of the window that yield the fitted polynomial at position r."""
     t = np.arange(window) - window // 2

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sigtab.functions import filters
 from sigtab.functions.numeric import div, finite, keys, x_number
 from sigtab.operators.joins import interpolate_join
-from sigtab.plans.layout import cut_lineage, frame, join_by, lend_borders, rows_per_task, with_index, with_stats, with_table
+from sigtab.plans import recursive
+from sigtab.plans.fft import lag_products
+from sigtab.plans.layout import cut_lineage, frame, join_by, lay_out, lend_borders, rows_per_task, with_index, with_stats, with_table
 from sigtab.plans.local import apply_local, fir
 from sigtab.plans.normeq import with_polynomial
 from sigtab.plans.quantile import medians, mid_ranks
@@ -85,15 +87,10 @@ def butterworth_filter(df: DataFrame, y: str, fs: float, kind: str = "lowpass",
                        order=None, name: str = "filtered") -> DataFrame:
     """Zero-phase Butterworth low-, high-, band-pass or band-stop filter with odd extension at the ends.
 
-    Chunks of a long series overlap by the memory of the filter.
+    Chunks of a long series exchange filter states, no rows, however long the filter remembers.
     """
     b, a = filters.butterworth(degree, kind, cutoff, fs)
-    pad = 3 * max(len(a), len(b))
-
-    def run(v: np.ndarray, first: bool, last: bool) -> np.ndarray:
-        return filters.zero_phase(b, a, v, pad)
-
-    return apply_local(df, y, keys(by), keys(order), 2 * filters.memory(a) + pad, run, name)
+    return recursive.zero_phase(df, y, keys(by), keys(order), b, a, 3 * max(len(a), len(b)), name)
 
 
 def taper(df: DataFrame, y: str, window: str = "hann", beta: float = 14.0, by=None, order=None,
@@ -130,12 +127,20 @@ def autocorrelation(df: DataFrame, y: str, max_lag: int, by=None, order=None, no
                     demean: bool = True) -> DataFrame:
     """(by, lag, corr) for lags 0 … ``max_lag``.
 
-    Lagged products are summed per chunk of rows, so only the lag table is shuffled afterwards.
+    Lagged products are summed per chunk of rows, so only the lag table is shuffled afterwards. Lags longer than a chunk
+    come from the distributed transform instead.
     """
     by = keys(by)
+    limit = rows_per_task(df.sparkSession)
     rows = df.filter(finite(y).isNotNull())
     rows = with_stats(rows, by, {"_m": F.avg(finite(y)) if demean else F.lit(0.0) * F.count(F.lit(1))})
     rows = rows.select(*by, *[c for c in keys(order) if c not in by], (finite(y) - F.col("_m")).alias("_v"))
+    far = None
+    if max_lag > limit:
+        sized = with_stats(rows, by, {"_n": F.count(F.lit(1))})
+        far = with_index(sized.filter(F.col("_n") > limit).drop("_n"), by, keys(order), "_i").withColumn("_reach", F.lit(max_lag))
+        far = lag_products(far, by, "_i", "_v", "_v", "_reach").withColumnsRenamed({"k": "lag", "s": "_s"})
+        rows, max_lag = sized.filter(F.col("_n") <= limit).drop("_n"), limit  # these have no longer lag
     fr = frame(rows, by, keys(order), max_lag, 0)
     sort, split = list(fr.order), fr.split
     head = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in by)
@@ -156,6 +161,7 @@ def autocorrelation(df: DataFrame, y: str, max_lag: int, by=None, order=None, no
         return out
 
     part = fr.df.groupBy(*fr.parts).applyInPandas(products, head + "lag bigint, _s double")
+    part = part.unionByName(far) if far is not None else part
     total = part.groupBy(*by, "lag").agg(F.sum("_s").alias("corr"))
     if not normalize:
         return total
@@ -209,32 +215,37 @@ def cross_correlation(a: DataFrame, b: DataFrame, x: str, y: str, max_lag: float
     if detrend != "none" or scale != "none":
         grid = cut_lineage(grid)
     steps = grid.groupBy(*by).agg(F.max((F.lit(abs(float(max_lag))) / F.col("dt")).cast("bigint")).alias("_kmax"))
-    reach = int(steps.agg(F.max("_kmax")).first()[0] or 0)
-    grid = with_table(grid, steps, by)
-    size = max(rows_per_task(grid.sparkSession), reach)
-    lent = lend_borders(grid, size, reach, reach, "g")
+    reach, limit = int(steps.agg(F.max("_kmax")).first()[0] or 0), rows_per_task(grid.sparkSession)
+    grid, far = with_table(grid, steps, by), None
+    if reach > limit:
+        sized = with_stats(grid, by, {"_n": F.count(F.lit(1))})
+        far = _far_lags(sized.filter(F.col("_n") > limit), by)
+        grid, reach = sized.filter(F.col("_n") <= limit).drop("_n"), limit  # these have no longer lag
+    lent = lend_borders(grid, max(limit, reach), reach, reach, "g")
     head = "".join(f"`{k}` {grid.schema[k].dataType.simpleString()}, " for k in by)
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("g")
         own, va, vb = pdf["_own"].to_numpy(bool), pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
-        kmax, out = int(pdf["_kmax"].iloc[0]), []
-        n = len(va)
-        for k in range(-kmax, kmax + 1):
-            lo, hi = max(0, k), min(n, n + k)
-            if hi <= lo:
-                continue
-            mine = own[lo:hi]
-            p, q = va[lo:hi][mine], vb[lo - k: hi - k][mine]
-            out.append((k, len(p), p.sum(), q.sum(), p @ p, q @ q, p @ q))
-        res = pd.DataFrame(out, columns=["k", "n", "sa", "sb", "saa", "sbb", "sab"])
+        n, kmax = len(va), min(int(pdf["_kmax"].iloc[0]), len(va) - 1)
+        start, end = int(np.argmax(own)), n - int(np.argmax(own[::-1]))
+        k = np.arange(-kmax, kmax + 1)
+        lo = np.maximum(start, k)
+        hi = np.maximum(lo, np.minimum(end, n + k))
+        size = 1 << int(np.ceil(np.log2(2 * n)))
+        c = np.fft.irfft(np.fft.rfft(np.where(own, va, 0.0), size) * np.conj(np.fft.rfft(vb, size)), size)
+        of = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+        a1, a2, b1, b2 = of(va), of(va * va), of(vb), of(vb * vb)
+        res = pd.DataFrame({"k": k, "n": hi - lo, "sa": a1[hi] - a1[lo], "sb": b1[hi - k] - b1[lo - k], "saa": a2[hi] - a2[lo], "sbb": b2[hi - k] - b2[lo - k], "sab": c[k % size]})
+        res = res[res["n"] > 0].reset_index(drop=True)
         res.insert(0, "dt", pdf["dt"].iloc[0])
-        for i, c in enumerate(by):
-            res.insert(i, c, [pdf[c].iloc[0]] * len(res))
+        for i, name in enumerate(by):
+            res.insert(i, name, [pdf[name].iloc[0]] * len(res))
         return res
 
     part = lent.groupBy(*by, "_c").applyInPandas(
         sums, head + "dt double, k bigint, n bigint, sa double, sb double, saa double, sbb double, sab double")
+    part = part.unionByName(far) if far is not None else part
     t = part.groupBy(*by, "k").agg(F.first("dt").alias("dt"), F.sum("n").alias("points"), *[F.sum(c).alias(c) for c in ("sa", "sb", "saa", "sbb", "sab")])
     n = F.col("points")
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
@@ -243,6 +254,26 @@ def cross_correlation(a: DataFrame, b: DataFrame, x: str, y: str, max_lag: float
     return t.select(*by, (F.col("k") * F.col("dt")).alias("lag"), corr.alias("corr"), "points")
 
 
+def _far_lags(grid: DataFrame, by: list[str]) -> DataFrame:
+    """The sums of ``cross_correlation`` for grids and lags of any length: products from the transform, moments from running sums.
+
+    At lag k the overlap leaves out the first |k| values of one series and the last |k| of the other, so each moment is one running sum
+    near the start or near the end.
+    """
+    moments = {"sa": F.col("a"), "sb": F.col("b"), "saa": F.col("a") * F.col("a"), "sbb": F.col("b") * F.col("b")}
+    lay = lay_out(grid, by, ["g"])
+    run = lay.done(lay.scan({c: ("sum", e) for c, e in moments.items()})).withColumn("_at", F.col("g") + 1)  # sums of the first _at values
+    shape = grid.groupBy(*by).agg(F.first("dt").alias("dt"), F.first("_n").alias("_n"), *[F.sum(e).alias(f"t_{c}") for c, e in moments.items()])
+    head = run.filter(F.col("_at") <= F.col("_kmax")).select(*by, F.col("_at").alias("_m"), *[F.col(c).alias(f"h_{c}") for c in moments])
+    tail = run.filter(F.col("_n") - F.col("_at") <= F.col("_kmax")).select(*by, (F.col("_n") - F.col("_at")).alias("_m"), *[F.col(c).alias(f"e_{c}") for c in moments])
+    lags = lag_products(grid, by, "g", "a", "b", "_kmax").withColumn("_m", F.abs("k"))
+    both = join_by(join_by(with_table(lags, shape, by), tail, by + ["_m"], "inner"), head, by + ["_m"])
+    later = {c: F.col(f"t_{c}") - F.coalesce(F.col(f"h_{c}"), F.lit(0.0)) for c in moments}  # all but the first |k|
+    late = lambda c, first: F.when(first, later[c]).otherwise(F.col(f"e_{c}"))
+    return both.select(*by, "dt", "k", (F.col("_n") - F.col("_m")).cast("bigint").alias("n"), late("sa", F.col("k") >= 0).alias("sa"), late("sb", F.col("k") < 0).alias("sb"),
+                       late("saa", F.col("k") >= 0).alias("saa"), late("sbb", F.col("k") < 0).alias("sbb"), F.col("s").alias("sab"))
+
+
 def best_lag(table: DataFrame, by=None) -> DataFrame:
     """The lag with the largest magnitude of correlation, the lowest lag among equals."""
     by = keys(by)

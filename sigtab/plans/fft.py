@@ -118,3 +118,32 @@ def _chirp(rows: DataFrame, sizes: DataFrame, by: list[str], inverse: bool) -> D
     x_re, x_im = _times((F.col("re"), F.col("im")), w)
     scale = F.col("n") if inverse else F.lit(1.0)
     return conv.select(*by, "k", "n", (x_re / scale).alias("re"), (x_im / scale).alias("im"))
+
+
+def lag_products(rows: DataFrame, by: list[str], index: str, a: str, b: str, reach: str) -> DataFrame:
+    """(by, k, s): the sum of a[i] * b[i - k] for every lag k up to the column ``reach`` either way that two values share.
+
+    Both series are transformed with as many zeros behind them as the longest lag, so nothing wraps around; no task holds
+    more than about the square root of that size, however long the lags are.
+    """
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.least(F.max(reach), F.count(F.lit(1)) - 1).cast("bigint").alias("_reach"))
+    bits = F.greatest(F.lit(2), F.ceil(F.log2(F.col("n") + F.col("_reach"))).cast("int"))
+    sizes = sizes.withColumns({"n1": F.pow(F.lit(2.0), F.ceil(bits / 2)).cast("bigint"), "n2": F.pow(F.lit(2.0), F.floor(bits / 2)).cast("bigint")})
+    work = rows.select(*by, F.col(index).cast("bigint").alias("k"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    work = join_by(work, sizes, by, "inner") if by else work.join(F.broadcast(sizes))  # one row of sizes
+    shape = ["k", "n", "n1", "n2"]
+    left = _two_rounds(work.select(*by, *shape, F.col("_a").alias("re"), F.lit(0.0).alias("im")), by, False)
+    if a == b:
+        product = left.select(*by, *shape, (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re"), F.lit(0.0).alias("im"))
+    else:
+        right = _two_rounds(work.select(*by, *shape, F.col("_b").alias("re"), F.lit(0.0).alias("im")), by, False)
+        both = join_by(left, right.select(*by, "k", F.col("re").alias("_re"), (-F.col("im")).alias("_im")), by + ["k"], "inner")
+        re, im = _times((F.col("re"), F.col("im")), (F.col("_re"), F.col("_im")))
+        product = both.select(*by, *shape, re.alias("_p"), im.alias("_q")).withColumnsRenamed({"_p": "re", "_q": "im"})
+    back = _two_rounds(product, by, True)
+    size = F.col("n1") * F.col("n2")
+    reaches = sizes.select(*by, "_reach")
+    out = join_by(back, reaches, by, "inner") if by else back.join(F.broadcast(reaches))
+    # lags of both signs fit the size together, as it is at least the series and the longest lag
+    kept = F.when(F.col("k") <= F.col("_reach"), F.col("k")).when((size - F.col("k") <= F.col("_reach")) & F.lit(a != b), F.col("k") - size)
+    return out.select(*by, kept.alias("k"), F.col("re").alias("s")).filter("k IS NOT NULL")

@@ -112,6 +112,22 @@ def test_recursive_filter_matches_plain_loop():
     np.testing.assert_allclose(got, y[4000:], atol=1e-9)
 
 
+@pytest.mark.parametrize("by", [None, "g"])
+def test_filters_that_remember_longer_than_a_chunk(spark, by):
+    """The cut-off makes the response last for thousands of rows; chunks hold 120."""
+    rng = np.random.default_rng(5)
+    n = 700
+    pdf = pd.DataFrame({"g": ["hot"] * (n - 45) + ["a"] * 30 + ["b"] * 2 + [None] * 13, "t": rng.permutation(n).astype(float), "y": rng.standard_normal(n).cumsum()})
+    df = spark.createDataFrame(pdf).repartition(5)
+    for kind, cut, degree in (("lowpass", 0.0008, 2), ("highpass", 0.001, 2), ("bandstop", (0.002, 0.004), 1)):
+        b, a = filters.butterworth(degree, kind, cut, 1.0)
+        whole, cut_ = both(spark, lambda: signal.butterworth_filter(df, "y", 1.0, kind, cut, degree, by, "t", "o"))
+        assert len(cut_) == n and list(whole.columns) == list(cut_.columns)
+        for _, s in ([(0, cut_)] if by is None else cut_.fillna({"g": "-"}).groupby("g")):
+            s = s.sort_values("t")
+            np.testing.assert_allclose(s.o, filters.zero_phase(b, a, s.y.to_numpy(), 3 * len(a)), rtol=1e-5, atol=1e-5)
+
+
 def test_constant_passes_low_pass(spark):
     df = spark.range(200).withColumn("y", F.lit(3.5))
     out = signal.butterworth_filter(df, "y", 1.0, "lowpass", 0.1, 4, None, "id", "o").toPandas()
@@ -239,3 +255,29 @@ def test_cross_correlation_finds_shift(spark):
     p, q = base[:399][k:], base[7:406][:-k]
     raw = signal.cross_correlation(a, b, "x", "y", 20.0).filter("lag = 3.0").first()["corr"]
     assert raw == pytest.approx(np.corrcoef(p, q)[0, 1], abs=1e-9)
+
+
+@pytest.mark.parametrize("by", [None, "s"])
+def test_lags_longer_than_a_chunk(spark, by):
+    """Chunks hold 120 rows; lags reach 500 and beyond the series."""
+    rng = np.random.default_rng(8)
+    n = 640
+    pdf = pd.DataFrame({"s": ["hot"] * 560 + ["a"] * 70 + [None] * 10, "x": np.arange(n).astype(float), "y": rng.standard_normal(n).cumsum()})
+    df = spark.createDataFrame(pdf).repartition(4)
+    for lags in (500, 5000):
+        whole, cut = both(spark, lambda: signal.autocorrelation(df, "y", lags, by, "x"))
+        w = check(whole, cut, [*([by] if by else []), "lag"], "corr")
+        assert len(w) == (min(lags, n - 1) + 1 if by is None else min(lags, 559) + 1 + 70 + 10)
+    other = df.withColumn("y", F.col("y") + F.sin("x") + 5)
+    for reach in (450.0, 10_000.0):
+        whole, cut = both(spark, lambda: signal.cross_correlation(df.filter("s = 'hot' OR s = 'a'"), other, "x", "y", reach, by))
+        w = check(whole, cut, [*([by] if by else []), "lag"], "corr", 1e-7)
+        c = cut.sort_values([*([by] if by else []), "lag"]).reset_index(drop=True)
+        assert (w["points"] == c["points"]).all() and w["lag"].abs().max() > 400
+    one = whole if by is None else whole[whole.s == "hot"]
+    m = int(one["points"].max())
+    a, b = pdf.y[:m].to_numpy(), (pdf.y + np.sin(pdf.x) + 5)[:m].to_numpy()
+    for k in (-300, -1, 0, 7, 411):
+        p, q = (a[k:], b[: m - k]) if k >= 0 else (a[:k], b[-k:])
+        got = one[one.lag == k].iloc[0]
+        assert got["points"] == len(p) and got["corr"] == pytest.approx(np.corrcoef(p, q)[0, 1], abs=1e-9)
