@@ -139,7 +139,7 @@ def autocorrelation(df: DataFrame, y: str, max_lag: int, by=None, order=None, no
     if max_lag > limit:
         sized = with_stats(rows, by, {"_n": F.count(F.lit(1))})
         far = with_index(sized.filter(F.col("_n") > limit).drop("_n"), by, keys(order), "_i").withColumn("_reach", F.lit(max_lag))
-        far = lag_products(far, by, "_i", "_v", "_v", "_reach").withColumnsRenamed({"k": "lag", "s": "_s"})
+        far = lag_products(far, by, "_i", "_v", "_v", "_reach").withColumnsRenamed({"k": "lag", "_sum": "_s"})
         rows, max_lag = sized.filter(F.col("_n") <= limit).drop("_n"), limit  # these have no longer lag
     fr = frame(rows, by, keys(order), max_lag, 0)
     sort, split = list(fr.order), fr.split
@@ -271,7 +271,7 @@ def _far_lags(grid: DataFrame, by: list[str]) -> DataFrame:
     later = {c: F.col(f"t_{c}") - F.coalesce(F.col(f"h_{c}"), F.lit(0.0)) for c in moments}  # all but the first |k|
     late = lambda c, first: F.when(first, later[c]).otherwise(F.col(f"e_{c}"))
     return both.select(*by, "dt", "k", (F.col("_n") - F.col("_m")).cast("bigint").alias("n"), late("sa", F.col("k") >= 0).alias("sa"), late("sb", F.col("k") < 0).alias("sb"),
-                       late("saa", F.col("k") >= 0).alias("saa"), late("sbb", F.col("k") < 0).alias("sbb"), F.col("s").alias("sab"))
+                       late("saa", F.col("k") >= 0).alias("saa"), late("sbb", F.col("k") < 0).alias("sbb"), F.col("_sum").alias("sab"))
 
 
 def best_lag(table: DataFrame, by=None) -> DataFrame:

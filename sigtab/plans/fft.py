@@ -121,7 +121,7 @@ def _chirp(rows: DataFrame, sizes: DataFrame, by: list[str], inverse: bool) -> D
 
 
 def lag_products(rows: DataFrame, by: list[str], index: str, a: str, b: str, reach: str) -> DataFrame:
-    """(by, k, s): the sum of a[i] * b[i - k] for every lag k up to the column ``reach`` either way that two values share.
+    """(by, k, _sum): the sum of a[i] * b[i - k] for every lag k up to the column ``reach`` either way that two values share.
 
     Both series are transformed with as many zeros behind them as the longest lag, so nothing wraps around; no task holds
     more than about the square root of that size, however long the lags are.
@@ -146,4 +146,4 @@ def lag_products(rows: DataFrame, by: list[str], index: str, a: str, b: str, rea
     out = join_by(back, reaches, by, "inner") if by else back.join(F.broadcast(reaches))
     # lags of both signs fit the size together, as it is at least the series and the longest lag
     kept = F.when(F.col("k") <= F.col("_reach"), F.col("k")).when((size - F.col("k") <= F.col("_reach")) & F.lit(a != b), F.col("k") - size)
-    return out.select(*by, kept.alias("k"), F.col("re").alias("s")).filter("k IS NOT NULL")
+    return out.select(*by, kept.alias("k"), F.col("re").alias("_sum")).filter("k IS NOT NULL")
