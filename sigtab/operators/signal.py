@@ -228,7 +228,7 @@ def cross_correlation(a: DataFrame, b: DataFrame, x: str, y: str, max_lag: float
         pdf = pdf.sort_values("g")
         own, va, vb = pdf["_own"].to_numpy(bool), pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
         n, kmax = len(va), min(int(pdf["_kmax"].iloc[0]), len(va) - 1)
-        start, end = int(np.argmax(own)), n - int(np.argmax(own[::-1]))
+        start, end = (int(np.argmax(own)), n - int(np.argmax(own[::-1]))) if own.any() else (0, 0)  # a chunk of lent rows only adds nothing
         k = np.arange(-kmax, kmax + 1)
         lo = np.maximum(start, k)
         hi = np.maximum(lo, np.minimum(end, n + k))
