@@ -237,7 +237,6 @@ def cross_correlation(a: DataFrame, b: DataFrame, x: str, y: str, max_lag: float
         of = lambda v: np.concatenate([[0.0], np.cumsum(v)])
         a1, a2, b1, b2 = of(va), of(va * va), of(vb), of(vb * vb)
         res = pd.DataFrame({"k": k, "n": hi - lo, "sa": a1[hi] - a1[lo], "sb": b1[hi - k] - b1[lo - k], "saa": a2[hi] - a2[lo], "sbb": b2[hi - k] - b2[lo - k], "sab": c[k % size]})
-        res = res[res["n"] > 0].reset_index(drop=True)
         res.insert(0, "dt", pdf["dt"].iloc[0])
         for i, name in enumerate(by):
             res.insert(i, name, [pdf[name].iloc[0]] * len(res))
@@ -246,7 +245,7 @@ def cross_correlation(a: DataFrame, b: DataFrame, x: str, y: str, max_lag: float
     part = lent.groupBy(*by, "_c").applyInPandas(
         sums, head + "dt double, k bigint, n bigint, sa double, sb double, saa double, sbb double, sab double")
     part = part.unionByName(far) if far is not None else part
-    t = part.groupBy(*by, "k").agg(F.first("dt").alias("dt"), F.sum("n").alias("points"), *[F.sum(c).alias(c) for c in ("sa", "sb", "saa", "sbb", "sab")])
+    t = part.groupBy(*by, "k").agg(F.first("dt").alias("dt"), F.sum("n").alias("points"), *[F.sum(c).alias(c) for c in ("sa", "sb", "saa", "sbb", "sab")]).filter("points > 0")
     n = F.col("points")
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
