@@ -6,6 +6,7 @@ import ast
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +51,9 @@ class Compiler:
     resolve the calls that need more than the current row.
     """
 
+    unary, binary, operators = UNARY, BINARY, BINARY_OPERATORS
+    constant, rounded = staticmethod(F.lit), staticmethod(F.bround)
+
     def __init__(self, column, aggregate=None, ordered=None):
         self.column, self.aggregate, self.ordered = column, aggregate, ordered
 
@@ -65,20 +69,20 @@ class Compiler:
 
     def visit(self, node) -> Column:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return F.lit(float(node.value))
+            return self.constant(float(node.value))
         if isinstance(node, ast.Name):
             name = self.names.get(node.id, node.id)
             if node.id not in self.names and name in CONSTANTS:
                 try:
                     return self.column(name)
                 except KeyError:
-                    return F.lit(CONSTANTS[name])
+                    return self.constant(CONSTANTS[name])
             return self.column(name)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
             value = self.visit(node.operand)
             return -value if isinstance(node.op, ast.USub) else value
-        if isinstance(node, ast.BinOp) and type(node.op) in BINARY_OPERATORS:
-            return BINARY_OPERATORS[type(node.op)](self.visit(node.left), self.visit(node.right))
+        if isinstance(node, ast.BinOp) and type(node.op) in self.operators:
+            return self.operators[type(node.op)](self.visit(node.left), self.visit(node.right))
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
             return self.call(node.func.id, node)
         raise ValueError(f"not allowed in a formula: {ast.dump(node)[:60]}")
@@ -93,15 +97,36 @@ class Compiler:
         args = [self.visit(a) for a in node.args]
         if name in ("min", "max") and len(args) > 1:
             name = {"min": "minimum", "max": "maximum"}[name]
-        if name in UNARY and len(args) == 1:
-            return UNARY[name](args[0])
-        if name in BINARY and len(args) == 2:
-            return BINARY[name](*args)
+        if name in self.unary and len(args) == 1:
+            return self.unary[name](args[0])
+        if name in self.binary and len(args) == 2:
+            return self.binary[name](*args)
         if name == "clip" and len(args) == 3:
-            return BINARY["minimum"](BINARY["maximum"](args[0], args[1]), args[2])
+            return self.binary["minimum"](self.binary["maximum"](args[0], args[1]), args[2])
         if name == "round" and len(args) in (1, 2):
             places = node.args[1].value if len(args) == 2 else 0
-            return F.bround(args[0], places)
+            return self.rounded(args[0], places)
         if name in AGGREGATES and len(args) == 1 and self.aggregate:
             return self.aggregate(name, args[0])
         raise ValueError(f"unknown function in a formula: {name}")
+
+
+def _rest(a, b):
+    left = np.fmod(a, b)
+    return np.where(left < 0, np.fmod(left + b, b), left)
+
+
+class ArrayCompiler(Compiler):
+    """Evaluates one formula over arrays by the same rules; NaN stands where a column has null."""
+
+    unary = {
+        "sqrt": np.sqrt, "abs": np.abs, "sin": np.sin, "cos": np.cos, "tan": np.tan, "exp": np.exp,
+        "log": lambda v: np.log(np.where(v > 0, v, np.nan)),
+    }
+    binary = {"minimum": np.minimum, "maximum": np.maximum}
+    operators = {
+        ast.Add: np.add, ast.Sub: np.subtract, ast.Mult: np.multiply, ast.Pow: lambda a, b: np.power(np.asarray(a, float), b),
+        ast.Div: lambda a, b: np.divide(a, np.where(np.equal(b, 0), np.nan, b)),
+        ast.Mod: lambda a, b: _rest(a, np.where(np.equal(b, 0), np.nan, b)),
+    }
+    constant, rounded = staticmethod(float), staticmethod(np.round)

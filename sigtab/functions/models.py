@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sigtab.functions.expressions import Compiler
+from sigtab.functions.expressions import ArrayCompiler, Compiler
 from sigtab.functions.numeric import as_col
 
 LEAST_WIDTH = 1e-12
@@ -99,3 +100,49 @@ def from_formula(formula: str, x: str, parameters: list[str]) -> Callable:
 
     build(F.lit(1.0), *[1.0] * len(parameters))
     return build
+
+
+# ---- the same curves over arrays, for fits that run inside a task ----
+
+def _wide(value: float) -> float:
+    return max(abs(value), LEAST_WIDTH)
+
+
+def _bell(x: np.ndarray, center: float, sigma: float) -> np.ndarray:
+    return np.exp(np.maximum(-0.5 * ((x - center) / _wide(sigma)) ** 2, -700.0))
+
+
+def _cauchy(x: np.ndarray, center: float, gamma: float) -> np.ndarray:
+    return 1 / (1 + ((x - center) / _wide(gamma)) ** 2)
+
+
+def _mixed(x: np.ndarray, center: float, sigma: float, gamma: float) -> np.ndarray:
+    r = 2 * _wide(gamma) / (_wide(sigma) * (2 * math.sqrt(2 * math.log(2))) + LEAST_WIDTH)
+    share = min(max(r * (MIXING[0] + r * (MIXING[1] + r * MIXING[2])), 0.0), 1.0)
+    return share * _cauchy(x, center, gamma) + (1 - share) * _bell(x, center, sigma)
+
+
+def _growth(value: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(value, -700.0, 700.0))
+
+
+ARRAY_MODELS: dict[str, Callable] = {
+    "gaussian": lambda x, a, c, s, o: a * _bell(x, c, s) + o,
+    "lorentzian": lambda x, a, c, g, o: a * _cauchy(x, c, g) + o,
+    "voigt": lambda x, a, c, s, g, o: a * _mixed(x, c, s, g) + o,
+    "logistic": lambda x, top, rate, mid, o: top / (1 + _growth(-rate * (x - mid))) + o,
+    "exponential": lambda x, a, rate, o: a * _growth(rate * x) + o,
+    "exp1": lambda x, a, tau, o: a * _growth(-x / _wide(tau)) + o,
+    "exp2": lambda x, a1, t1, a2, t2, o: a1 * _growth(-x / _wide(t1)) + a2 * _growth(-x / _wide(t2)) + o,
+    "power": lambda x, a, e, o: a * np.power(x, e) + o,
+    "sine": lambda x, a, omega, phase, o: a * np.sin(omega * x + phase) + o,
+}
+
+
+def array_formula(formula: str, x: str, parameters: list[str]) -> Callable:
+    """The function of an array and parameter values that ``from_formula`` states as a column."""
+    def value(at: np.ndarray, *values: float) -> np.ndarray:
+        known = {x: at, **dict(zip(parameters, values))}
+        return np.broadcast_to(np.asarray(ArrayCompiler(known.__getitem__).compile(formula), float), at.shape)
+
+    return value

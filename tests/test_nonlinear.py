@@ -1,8 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from sigtab.functions.models import ARRAY_MODELS, MODELS, array_formula, from_formula
 from sigtab.operators import nonlinear as nl, peaks
+from sigtab.plans import lm
 
 
 def table(spark, frames):
@@ -78,3 +81,98 @@ def test_two_peaks_on_a_baseline(spark):
     np.testing.assert_allclose(a.fwhm, np.array([0.35, 0.55]) * 2.35482, atol=0.03)
     np.testing.assert_allclose(a.area, np.array([3 * 0.35, 2 * 0.55]) * np.sqrt(2 * np.pi), atol=0.08)
     assert ((a.center_low < a.center) & (a.center < a.center_high)).all()
+
+
+def test_arrays_follow_the_columns(spark):
+    x = np.linspace(0.2, 6, 25)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    values = {"gaussian": (2, 3, 0.7, 1), "lorentzian": (2, 3, 0.7, 1), "voigt": (2, 3, 0.7, 0.4, 1), "logistic": (2, 1.5, 3, 1),
+              "exponential": (2, -0.3, 1), "exp1": (2, 1.4, 1), "exp2": (2, 1.4, 3, 0.2, 1), "power": (2, 1.4, 1), "sine": (2, 1.4, 0.3, 1)}
+    for name, (build, _) in MODELS.items():
+        want = df.orderBy("x").select(build(F.col("x"), *values[name]).alias("y")).toPandas().y
+        np.testing.assert_allclose(ARRAY_MODELS[name](x, *values[name]), want, rtol=1e-12)
+    for formula in ("a * exp(-x / b) + sqrt(abs(x - 3))", "clip(a * x, 2, b) + pi", "round(x / b, 1) + x % 2 - (x - 3) % b", "min(x, a) * max(x, b) - log(x) ** 2"):
+        build = from_formula(formula, "x", ["a", "b"])
+        want = df.orderBy("x").select(build(F.col("x"), 1.5, 4.0).alias("y")).toPandas().y
+        np.testing.assert_allclose(array_formula(formula, "x", ["a", "b"])(x, 1.5, 4.0), want, rtol=1e-12)
+
+
+def comb(peaks_, n=900):
+    x = np.linspace(0, 100, n)
+    y = sum(h * np.exp(-0.5 * ((x - c) / w) ** 2) for h, c, w in peaks_) + 0.004 * np.sin(91 * x)
+    return pd.DataFrame({"x": x, "y": y})
+
+
+def test_all_peaks_are_fitted(spark):
+    """Eleven peaks, some overlapping, in one spectrum and two in another; none is left out and both fits settle."""
+    truth = [(1 + (i % 4), 5 + 8.7 * i + 0.4 * (i % 3), 0.9 + 0.25 * (i % 5)) for i in range(11)]
+    frames = [comb(truth).assign(s="many"), comb([(3, 30, 2), (2, 70, 4)]).assign(s="two")]
+    got = nl.fit_peaks(table(spark, frames), "x", "y", "s", baseline="none").toPandas()
+    assert got.converged.all() and (got.r_squared > 0.999).all() and (got.status == "ok").all()
+    many = got[got.s == "many"].sort_values("center")
+    np.testing.assert_allclose(many[["height", "center"]], [t[:2] for t in truth], atol=0.02)
+    np.testing.assert_allclose(many.fwhm / 2.3548200450309493, [t[2] for t in truth], atol=0.02)
+    assert len(got[got.s == "two"]) == 2
+
+
+def test_long_series_take_the_same_steps(spark):
+    frames = [comb([(2, 20, 3), (3, 55, 2), (1, 80, 5)], 300).assign(s="a"), comb([(1, 50, 8)], 30).assign(s="b")]
+    df = table(spark, frames)
+    rows = df.select("s", "x", "y")
+    start = spark.createDataFrame([("a", [1.9, 19.0, 2.0, 2.8, 56.0, 3.0, 1.0, 79.0, 4.0]), ("b", [0.8, 47.0, 6.0])], "s string, p array<double>")
+    free = lambda size: (np.full(size, -np.inf), np.full(size, np.inf))
+    curve = nl._peak_sum(nl.SHAPES["gaussian"][0])
+    whole = lm.fit(rows, ["s"], curve, free, start).toPandas().set_index("s")
+    spark.conf.set("spark.sigtab.rowsPerTask", "40")
+    try:
+        cut = lm.fit(rows, ["s"], curve, free, start).toPandas().set_index("s")
+        one = nl.fit_model(df.filter("s = 'a'"), "x", "y", "a + b * x", None, ["a", "b"], {"a": 0, "b": 0}).first()
+    finally:
+        spark.conf.unset("spark.sigtab.rowsPerTask")
+    for s in "ab":
+        np.testing.assert_allclose(cut.p[s], whole.p[s], rtol=1e-7)
+        np.testing.assert_allclose(cut.xx[s], whole.xx[s], rtol=1e-6, atol=1e-9)
+        assert cut.converged[s] and whole.converged[s] and cut.n[s] == whole.n[s] == (300 if s == "a" else 30)
+    a = frames[0]
+    np.testing.assert_allclose(one.params, np.polyfit(a.x, a.y, 1)[::-1], rtol=1e-6)
+
+
+def test_no_data_and_no_value(spark):
+    x = np.linspace(0, 100, 200)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "good": comb([(3, 30, 4)], 200).y, "flat": 0.0 * x, "gone": np.nan * x}))
+    got = nl.fit_peaks_columns(df, "x", ["good", "flat", "gone"], baseline="none").toPandas().set_index("column")
+    assert got.status.to_dict() == {"good": "ok", "flat": "no peaks", "gone": "no data"}
+    assert got.center["good"] == pytest.approx(30, abs=0.05)
+    none = nl.fit_model(df, "x", "good", "a * log(x - b)", None, ["a", "b"], {"a": 1, "b": 500}).first()
+    assert none.params is None and not none.converged
+    stopped = nl.fit_model(df, "x", "good", "gaussian", iterations=2).first()
+    assert not stopped.converged and stopped.params is not None
+
+
+def test_shared_fit_covariance_and_bands(spark):
+    """Covariance of the whole fit against the stacked problem, one fixed parameter, bands by predict."""
+    rng = np.random.default_rng(9)
+    x = np.linspace(0, 6, 40)
+    truth = {"p": (2.0, 0.1), "q": (5.0, -0.4)}
+    frames = [pd.DataFrame({"d": d, "x": x, "y": a * np.exp(-x / 1.3) + c + 0.02 * rng.standard_normal(40)}) for d, (a, c) in truth.items()]
+    df = table(spark, frames)
+    got = nl.global_fit(df, "d", "x", "y", "exp1", ["tau"], {"amplitude": 1, "tau": 1, "offset": 0})
+    rows = {r.d: r for r in got.collect()}
+    tau = rows["p"].params[1]
+    jac, res = np.zeros((80, 5)), []
+    for i, d in enumerate("pq"):
+        a, _, c = rows[d].params
+        e = np.exp(-x / tau)
+        part = slice(40 * i, 40 * i + 40)
+        jac[part, 0], jac[part, 1 + 2 * i], jac[part, 2 + 2 * i] = a * x / tau**2 * e, e, 1
+        res.append(frames[i].y - a * e - c)
+    cov = np.linalg.inv(jac.T @ jac) * np.sum(np.square(res)) / 75
+    for i, d in enumerate("pq"):
+        at = [1 + 2 * i, 0, 2 + 2 * i]
+        assert rows[d].converged and rows[d].dof == 75
+        np.testing.assert_allclose(np.reshape(rows[d].cov, (3, 3)), cov[np.ix_(at, at)], rtol=1e-3)
+        np.testing.assert_allclose(rows[d].errors, np.sqrt(np.diag(cov)[at]), rtol=1e-3)
+    band = nl.predict(df, got, "x", "exp1", "d").toPandas()
+    assert ((band.band_low < band.fitted) & (band.fitted < band.band_high)).all()
+    fixed = nl.global_fit(df, "d", "x", "y", "exp1", ["tau"], {"amplitude": 1, "tau": 1}, fixed={"offset": 0.0}).first()
+    assert fixed.params[2] == 0 and fixed.errors[2] == 0 and fixed.cov[8] == 0 and fixed.converged
