@@ -64,7 +64,7 @@ def start_table(rows: DataFrame, by: list[str], model: str) -> DataFrame:
 def _rows(df: DataFrame, x: str, y: str, by: list[str], sigma: str | None) -> DataFrame:
     rows = df.select(*by, x_number(df, x).alias("x"), finite(y).alias("y"), *([finite(sigma).alias("sigma")] if sigma else []))
     rows = rows.filter("x IS NOT NULL AND y IS NOT NULL")
-    return rows.filter("sigma > 0") if sigma else rows
+    return cut_lineage(rows.filter("sigma > 0") if sigma else rows)  # read several times, so the input is computed once
 
 
 def _start(rows, by, model, names, start):
@@ -167,7 +167,7 @@ def global_fit(df: DataFrame, dataset: str, x: str, y: str, model: str, shared:
     names = free_shared + local
     k, p = len(free_shared), len(free_shared) + len(local)
     by = [dataset]
-    rows = _rows(df, x, y, by, sigma).persist()
+    rows = _rows(df, x, y, by, sigma)
     scale = 1 / F.col("sigma") if sigma else F.lit(1.0)
     low = np.array([(lower or {}).get(c, -np.inf) for c in names], float)
     high = np.array([(upper or {}).get(c, np.inf) for c in names], float)
@@ -196,41 +196,38 @@ def global_fit(df: DataFrame, dataset: str, x: str, y: str, model: str, shared:
         return (s.ravel().tolist(), v.tolist())
 
     converged = False
-    try:
-        for _ in range(iterations):
-            got = lm.evaluate(rows, by, trial, p, curve, F.col("y"), scale, loss, loss_scale, few)
-            got = cut_lineage(join_by(trial, got, by))
-            tot = got.agg(F.sum("cost").alias("c"), F.sum(F.col("n") - F.col("valid")).alias("bad")).first()
-            cost = tot["c"] if tot["c"] is not None and math.isfinite(tot["c"]) and not tot["bad"] else math.inf
-            settled = best is not None and abs(total - cost) <= 1e-10 * total
-            better = cost <= total
-            if better:
-                best, total = got, cost
-            lam = max(lam * 0.1, 1e-12) if better else lam * 8
-            if settled or total == 0 or lam > 1e12:
-                converged = best is not None
-                break
-            if best is None:
-                raise ValueError("the model cannot be evaluated at the start values")
-            delta = np.zeros(k)
-            if k:
-                parts = map_rows(best, by, blocks, [numbers("s"), numbers("v")])
-                sums = parts.agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(k * k)],
-                                 *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(k)]).first()
-                s = np.array([sums[f"s{i}"] for i in range(k * k)]).reshape(k, k)
-                v = np.array([sums[f"v{i}"] for i in range(k)])
-                delta = np.linalg.lstsq(s, v, rcond=None)[0]
-
-            def move(r, delta=delta, lam=lam):
-                a, g, at = unpack(r["xx"], p), np.asarray(r["xy"]), np.asarray(r["_t"])
-                a = a + lam * np.diag(np.maximum(np.diag(a), 1e-12))
-                g = np.where(((at <= low) & (g < 0)) | ((at >= high) & (g > 0)), 0.0, g)
-                d = np.concatenate([delta, np.linalg.solve(a[k:, k:], g[k:] - a[k:, :k] @ delta)]) if p > k else delta
-                return (np.clip(at + d, low, high).tolist(),)
-
-            trial = cut_lineage(map_rows(best, by, move, [numbers("_t")]))
-    finally:
-        rows.unpersist()
+    for _ in range(iterations):
+        got = lm.evaluate(rows, by, trial, p, curve, F.col("y"), scale, loss, loss_scale, few)
+        got = cut_lineage(join_by(trial, got, by))
+        tot = got.agg(F.sum("cost").alias("c"), F.sum(F.col("n") - F.col("valid")).alias("bad")).first()
+        cost = tot["c"] if tot["c"] is not None and math.isfinite(tot["c"]) and not tot["bad"] else math.inf
+        settled = best is not None and abs(total - cost) <= 1e-10 * total
+        better = cost <= total
+        if better:
+            best, total = got, cost
+        lam = max(lam * 0.1, 1e-12) if better else lam * 8
+        if settled or total == 0 or lam > 1e12:
+            converged = best is not None
+            break
+        if best is None:
+            raise ValueError("the model cannot be evaluated at the start values")
+        delta = np.zeros(k)
+        if k:
+            parts = map_rows(best, by, blocks, [numbers("s"), numbers("v")])
+            sums = parts.agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(k * k)],
+                             *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(k)]).first()
+            s = np.array([sums[f"s{i}"] for i in range(k * k)]).reshape(k, k)
+            v = np.array([sums[f"v{i}"] for i in range(k)])
+            delta = np.linalg.lstsq(s, v, rcond=None)[0]
+
+        def move(r, delta=delta, lam=lam):
+            a, g, at = unpack(r["xx"], p), np.asarray(r["xy"]), np.asarray(r["_t"])
+            a = a + lam * np.diag(np.maximum(np.diag(a), 1e-12))
+            g = np.where(((at <= low) & (g < 0)) | ((at >= high) & (g > 0)), 0.0, g)
+            d = np.concatenate([delta, np.linalg.solve(a[k:, k:], g[k:] - a[k:, :k] @ delta)]) if p > k else delta
+            return (np.clip(at + d, low, high).tolist(),)
+
+        trial = cut_lineage(map_rows(best, by, move, [numbers("_t")]))
     lam = 0.0
     counts = best.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).first()
     dof = counts["n"] - k - counts["d"] * (p - k)
@@ -300,7 +297,7 @@ def fit_peaks(df: DataFrame, x: str, y: str, by=None, model: str = "gaussian", b
 
     One row per peak: centre, height, full width, area with standard errors and confidence limits,
     r² of its spectrum and ``converged`` (false where the fit had not settled after ``iterations``
-    steps). A spectrum without peaks, or whose fit has no value, gives one row whose ``status`` tells so.
+    steps). A peak narrower than the steps of x has no errors of centre and width. A spectrum without peaks, or whose fit has no value, gives one row whose ``status`` tells so.
     Rows of a long spectrum are spread over tasks; the equations of its peaks (9 numbers for each pair
     of peaks) are solved in one place.
     """
@@ -345,7 +342,8 @@ def fit_peaks(df: DataFrame, x: str, y: str, by=None, model: str = "gaussian", b
             values = (c, h, to_fwhm * w, to_area * h * w)
             out += [float(i)]
             for v, g in zip(values, np.array(grads, float)):
-                se = math.sqrt(max(float(g @ sub @ g), 0.0)) if np.all(np.isfinite(sub)) else math.nan
+                own = np.flatnonzero(g)
+                se = math.sqrt(max(float(g[own] @ sub[np.ix_(own, own)] @ g[own]), 0.0)) if np.all(np.isfinite(sub[np.ix_(own, own)])) else math.nan
                 out += [float(v), se, v - crit * se, v + crit * se]
         return (out,)
 

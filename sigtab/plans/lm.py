@@ -271,7 +271,11 @@ def fit(rows: DataFrame, by: list[str], curve: Callable, bounds: Callable, start
 
 
 def finish(table: DataFrame, by: list[str], totals: DataFrame, absolute_sigma: bool = False) -> DataFrame:
-    """Standard errors, covariance and fit metrics of a ``fit`` result. ``totals`` holds ``tss`` per series."""
+    """Standard errors, covariance and fit metrics of a ``fit`` result. ``totals`` holds ``tss`` per series.
+
+    Errors are null (and entries of ``cov`` NaN) for parameters without influence, and all of them
+    where the others cannot be told apart.
+    """
     joined = join_by(table, totals, by) if by else with_table(table, totals, [])
 
     def solve(r):
@@ -281,19 +285,23 @@ def finish(table: DataFrame, by: list[str], totals: DataFrame, absolute_sigma: b
         n, free = r["n"], np.flatnonzero(np.asarray(r["free"]) > 0)
         k = len(free)
         dof = n - k
-        a = unpack(r["xx"], p)[np.ix_(free, free)]
-        s = 1 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+        full = unpack(r["xx"], p)
+        live = free[np.diag(full)[free] > 0]  # a parameter without any influence has no error, the others keep theirs
+        a = full[np.ix_(live, live)]
+        s = 1 / np.sqrt(np.diag(a))
         scaled = a * np.outer(s, s)
         cov = np.zeros((p, p))
-        if k and np.linalg.matrix_rank(scaled) == k:
+        dead = np.setdiff1d(free, live)
+        cov[dead], cov[:, dead] = np.nan, np.nan
+        if len(live) and np.linalg.matrix_rank(scaled) == len(live):
             factor = 1.0 if absolute_sigma else (r["cost"] / dof if dof > 0 else np.nan)
-            cov[np.ix_(free, free)] = np.linalg.inv(scaled) * np.outer(s, s) * factor
+            cov[np.ix_(live, live)] = np.linalg.inv(scaled) * np.outer(s, s) * factor
         else:
             cov[:] = np.nan
         sse, tss = r["sse"], r["tss"]
         obj = max(sse, np.finfo(float).tiny)
         se = [float(v) if np.isfinite(v) else None for v in np.sqrt(np.diag(cov))]
-        cov_list = cov.ravel().tolist() if np.all(np.isfinite(cov)) else None
+        cov_list = cov.ravel().tolist() if np.any(np.isfinite(cov)) else None
         return (list(r["p"]), se, cov_list, 1 - sse / tss if tss and tss > 0 else None, float(np.sqrt(sse / n)),
                 r["cost"] / max(1, dof), n * np.log(obj / n) + 2 * k, n * np.log(obj / n) + k * np.log(n), float(dof))
 
