@@ -215,3 +215,19 @@ def test_parser_reasons(spark):
     csv = ["r,t,s", "1,2,a", "1,,b", "1,2", ",,c"]
     out = sensor.parse_lines(spark.createDataFrame([(x,) for x in csv], "value string"), schema, "csv").toPandas()
     assert len(out) == 4 and out.error.isna().sum() == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "outer"])
+def test_merge_spreads_frequent_keys(spark, tiny_tasks, how):
+    lk, rk = [1] * 60 + [2] * 3 + [None] * 30 + [4] * 2, [1] * 50 + [2] * 4 + [None] * 20 + [5] * 3
+    left = spark.createDataFrame([(k, i, 1.5) for i, k in enumerate(lk)], "k bigint, a bigint, v double")
+    right = spark.createDataFrame([(k, i, 2.5) for i, k in enumerate(rk)], "k bigint, b bigint, v double")
+    joined = joins.merge(left, right, "k", "k", how).select("k", "a", "v_left", "b", "v_right")
+    want = [(k, a, 1.5, b, 2.5) for a, k in enumerate(lk) for b, m in enumerate(rk) if k == m]
+    if how != "inner":
+        want += [(4, a, 1.5, None, None) for a, k in enumerate(lk) if k == 4]
+    if how == "outer":
+        want += [(5, None, None, b, 2.5) for b, m in enumerate(rk) if m == 5]
+    assert sorted(map(tuple, joined.collect()), key=repr) == sorted(want, key=repr)
+    per_task = joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert max(r["n"] for r in per_task) < 60 * 50 / 2  # the pairs of one key are not one task's work
