@@ -1,7 +1,8 @@
 """Nearest row beyond a level, for many levels at once, on series of any length.
 
 Rows are cut into chunks of consecutive positions. A search ends inside its own chunk, or is sent
-to the one other chunk that a table of chunk maxima names. No chunk is larger than one task.
+to the one other chunk that a table of chunk maxima names. No chunk is larger than one task, and
+many short ones share a group.
 """
 
 from __future__ import annotations
@@ -9,35 +10,44 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigtab.plans.batches import batch_of, numbers, series_of
 from sigtab.plans.layout import join_by, rows_per_task, with_table
 
 
-def _search(y: np.ndarray, at: np.ndarray, level: np.ndarray, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+def _search(y: np.ndarray, fresh: np.ndarray, at: np.ndarray, begin: np.ndarray, level: np.ndarray, strict: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each query the last position before ``at`` above its level, and the minimum from there to ``at``.
 
-    Position -1 when there is none; the minimum then reaches to the start.
+    Position -1 when there is none; the minimum then reaches to the start. ``fresh`` marks the first position of each
+    series, ``begin`` is that of the query's series.
     """
-    found, low = np.full(len(at), -1), np.empty(len(at))
-    order = np.argsort(at, kind="stable")
+    found, low = np.full(len(at), -1), np.full(len(at), np.inf)
+    y, fresh, ends, begins, levels = y.tolist(), fresh.tolist(), at.tolist(), begin.tolist(), level.tolist()
     # positions with falling values, the negated values, and the minimum since the position before
     stack, negative, least, i = [], [], [], 0
-    for q in order:
-        while i < at[q]:
-            lowest = y[i]
-            while stack and y[stack[-1]] <= y[i]:
+    for q in np.argsort(at, kind="stable").tolist():
+        end = ends[q]
+        if end == begins[q]:
+            continue
+        i = max(i, begins[q])
+        while i < end:
+            if fresh[i]:
+                stack, negative, least = [], [], []
+            lowest = v = y[i]
+            while stack and negative[-1] >= -v:
                 stack.pop()
                 negative.pop()
                 lowest = min(lowest, least.pop())
             stack.append(i)
-            negative.append(-y[i])
+            negative.append(-v)
             least.append(lowest)
             i += 1
-        k = (bisect_left if strict else bisect_right)(negative, -level[q])
-        found[q] = stack[k - 1] if k else -1
+        k = (bisect_left if strict else bisect_right)(negative, -levels[q])
+        if k:
+            found[q] = stack[k - 1]
         low[q] = min(least[k:], default=np.inf)
     return found, low
 
@@ -63,31 +73,42 @@ def nearest_crossing(rows: DataFrame, by: list[str], index: str, value: str, que
     schema = f"{head}_q {qtype}, _at bigint, _l double, _c bigint, found bigint, span_min double"
 
     def inside(whole: bool):
-        def run(data_pdf: pd.DataFrame, ask_pdf: pd.DataFrame) -> pd.DataFrame:
-            out = ask_pdf[by + ["_q", "_at", "_l", "_c"]].copy()
-            if not len(out):
-                return out.assign(found=pd.Series(dtype="Int64"), span_min=pd.Series(dtype=float))
-            pdf = data_pdf.sort_values("_i")
-            pos, y = pdf["_i"].to_numpy(np.int64), pdf["_v"].to_numpy(float)
+        def run(data: pa.Table, asks: pa.Table) -> pa.Table:
+            series, asked = series_of(keys, data, asks)
+            # a chunk's rows stay together, in order, and places within it are below its size
+            place = series * size + numbers(data, "_i", np.int64) % size
+            order = np.argsort(place, kind="stable")
+            place, pos, y = place[order], numbers(data, "_i", np.int64)[order], numbers(data, "_v")[order]
             y = np.where(np.isnan(y), -np.inf, y)
+            fresh = np.diff(series[order], prepend=-1) != 0
+            begin, end = np.searchsorted(place, asked * size), np.searchsorted(place, (asked + 1) * size)
+            if not left:
+                begin, end = len(y) - end, len(y) - begin
+                fresh = np.append(fresh[1:], True)[::-1] if len(y) else fresh
             if whole:
-                at = np.full(len(out), len(y))
-            elif left:
-                at = np.searchsorted(pos, out["_at"].to_numpy(np.int64), "left")
+                at = end
             else:
-                at = len(y) - np.searchsorted(pos, out["_at"].to_numpy(np.int64), "right")
+                at = np.searchsorted(place, asked * size + numbers(asks, "_at", np.int64) % size, "left" if left else "right")
+                at = at if left else len(y) - at
             seq, where = (y, pos) if left else (y[::-1], pos[::-1])
-            found, low = _search(seq, at, out["_l"].to_numpy(float), strict)
+            found, low = _search(seq, fresh, at, begin, numbers(asks, "_l"), strict)
             hit = found >= 0
-            out["found"] = pd.Series(np.where(hit, where[found], 0), index=out.index).astype("Int64").where(hit)
-            out["span_min"] = pd.Series(low, index=out.index).where(np.isfinite(low))
-            return out
+            rows_hit = np.append(where, 0)[found]
+            return pa.table([*asks.select(out).columns, pa.array(rows_hit, mask=~hit), pa.array(low, mask=~np.isfinite(low))],
+                            names=[*out, "found", "span_min"])
         return run
 
-    keys = by + ["_c"]
-    first = data.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(inside(False), schema)
+    keys, out = by + ["_c"], [*by, "_q", "_at", "_l", "_c"]
+    top, n = rows.agg(F.max(index), F.count(F.lit(1))).first()
+    batch = batch_of(keys, n, size)
+
+    def search(asks: DataFrame, whole: bool) -> DataFrame:
+        both = data.withColumn("_g", batch).groupBy("_g").cogroup(asks.withColumn("_g", batch).groupBy("_g"))
+        return both.applyInArrow(inside(whole), schema)
+
+    first = search(asks, False)
     open_ones = first.filter(F.col("found").isNull())
-    if (rows.agg(F.max(index)).first()[0] or 0) < size:
+    if (top or 0) < size:
         return _named(first, by, queries, query_id)
     # only series of several chunks need the table, so it has at most 2 n / size rows
     others = data.groupBy(*keys).agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
@@ -104,7 +125,7 @@ def nearest_crossing(rows: DataFrame, by: list[str], index: str, value: str, que
     target = link.select(*by, "_q", "_at", "_l", "_c", F.col("span_min").alias("_own"), "_tc",
                          F.array_min(F.transform(between, lambda s: s["_lo"])).alias("_mid"))
     asks2 = target.select(*by, "_q", "_at", "_l", F.coalesce("_tc", F.lit(-1)).cast("bigint").alias("_c"))
-    second = data.groupBy(*keys).cogroup(asks2.filter("_c >= 0").groupBy(*keys)).applyInPandas(inside(True), schema)
+    second = search(asks2.filter("_c >= 0"), True)
     got = join_by(target, second.select(*by, "_q", "found", F.col("span_min").alias("_far")), by + ["_q"])
     ended = got.select(*by, "_q", "_at", "_l", "_c", "found", F.least("_own", "_mid", "_far").alias("span_min"))
     return _named(first.filter(F.col("found").isNotNull()).unionByName(ended), by, queries, query_id)

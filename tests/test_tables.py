@@ -231,3 +231,26 @@ def test_merge_spreads_frequent_keys(spark, tiny_tasks, how):
     assert sorted(map(tuple, joined.collect()), key=repr) == sorted(want, key=repr)
     per_task = joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert max(r["n"] for r in per_task) < 60 * 50 / 2  # the pairs of one key are not one task's work
+
+
+def test_short_series_share_groups(spark):
+    from sigtab.plans.fft import fft
+    big = 2 ** 60
+    keys = [None, *range(big, big + 40)]  # whole numbers that a double cannot hold, next to a null
+    draw = np.random.default_rng(7)
+    series = {k: draw.normal(size=draw.integers(1, 9)).round(1) for k in keys}
+    df = spark.createDataFrame([(k, i, float(v)) for k, y in series.items() for i, v in enumerate(y)], "g bigint, i bigint, y double").repartition(3)
+    spectra = fft(df, ["g"], "i", "y")
+    asks = df.select("g", "i", F.col("i").alias("at"), F.col("y").alias("level"))
+    left = nearest_crossing(df, ["g"], "i", "y", asks, "i")
+    assert all("FlatMap" in p and ", _g" in p for p in (x._jdf.queryExecution().analyzed().toString() for x in (spectra, left)))
+    got = {(r["g"], r["k"]): complex(r["re"], r["im"]) for r in spectra.collect()}
+    assert len(got) == sum(map(len, series.values()))
+    for g, y in series.items():
+        np.testing.assert_allclose([got[g, k] for k in range(len(y))], np.fft.fft(y), atol=1e-12)
+    found = {(r["g"], r["i"]): (r["found"], r["span_min"]) for r in left.collect()}
+    for g, y in series.items():
+        for i, v in enumerate(y):
+            j = max((j for j in range(i) if y[j] > v), default=None)
+            between = y[(-1 if j is None else j) + 1:i]
+            assert found[g, i] == (j, min(between) if len(between) else None)
