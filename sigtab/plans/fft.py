@@ -11,9 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigtab.plans.batches import batch_of, numbers, series_of
 from sigtab.plans.layout import join_by, rows_per_task
 
 
@@ -32,31 +34,40 @@ def fft(df: DataFrame, by: list[str], index: str, re: str, im: str | None = None
                      (F.col(im).cast("double") if im else F.lit(0.0)).alias("im"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     long = sizes.filter(F.col("n") > limit)
-    if long.isEmpty():
-        return _short(rows, by, inverse, half)
+    most, n = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (most or 0) <= limit:
+        return _short(rows, by, inverse, half, n or 0, limit)
     far = _chirp(join_by(rows, long, by, "inner") if by else rows.withColumn("n", F.lit(long.first()["n"])), long, by, inverse)
     if half:
         far = far.filter(F.col("k") <= F.floor(F.col("n") / 2))
     if not by:
         return far
     near = join_by(rows, long.withColumn("_long", F.lit(True)), by).filter("_long IS NULL").drop("_long", "n")
-    return _short(near, by, inverse, half).unionByName(far)
-
-
-def _short(rows: DataFrame, by: list[str], inverse: bool, half: bool) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        z = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        n = len(z)
-        f = np.fft.ifft(z) if inverse else np.fft.fft(z)
-        if half:
-            f = f[: n // 2 + 1]
-        out = pd.DataFrame({"k": np.arange(len(f)), "n": n, "re": f.real, "im": f.imag})
-        for i, c in enumerate(by):
-            out.insert(i, c, [pdf[c].iloc[0]] * len(out))
-        return out
-
-    return rows.groupBy(*by).applyInPandas(run, _head(rows, by) + "k bigint, n bigint, re double, im double")
+    return _short(near, by, inverse, half, n, limit).unionByName(far)
+
+
+def _short(rows: DataFrame, by: list[str], inverse: bool, half: bool, total: int, limit: int) -> DataFrame:
+    """Each series whole, many series at a time; series of one length share a transform."""
+    def run(table: pa.Table) -> pa.Table:
+        code = series_of(by, table)[0]
+        order = np.lexsort((numbers(table, "k"), code))
+        z = (numbers(table, "re") + 1j * numbers(table, "im"))[order]
+        start = np.flatnonzero(np.diff(code[order], prepend=-1))
+        n = np.diff(start, append=len(z))
+        kept = n // 2 + 1 if half else n
+        to = np.cumsum(kept) - kept
+        out = np.empty(kept.sum(), complex)
+        for size in np.unique(n):
+            rows_of = start[n == size][:, None] + np.arange(size)
+            f = np.fft.ifft(z[rows_of], axis=1) if inverse else np.fft.fft(z[rows_of], axis=1)
+            count = kept[n == size][0]
+            out[to[n == size][:, None] + np.arange(count)] = f[:, :count]
+        k = np.arange(len(out)) - np.repeat(to, kept)
+        own = table.select(by).take(pa.array(np.repeat(order[start], kept)))
+        return pa.table([*own.columns, k, np.repeat(n, kept), out.real, out.imag], names=[*by, "k", "n", "re", "im"])
+
+    batches = rows.withColumn("_g", batch_of(by, total, limit)).groupBy("_g")
+    return batches.applyInArrow(run, _head(rows, by) + "k bigint, n bigint, re double, im double")
 
 
 def _two_rounds(rows: DataFrame, by: list[str], inverse: bool) -> DataFrame:
