@@ -261,16 +261,20 @@ def main_effects(df: DataFrame, columns: list[str], by=None) -> DataFrame:
 
 
 def interaction_means(df: DataFrame, factor: str, responses: list[str], by=None) -> DataFrame:
-    """Mean of each response where the factor is at or below its median, and above it."""
+    """Mean of each response where the factor is at or below its median, and above it.
+
+    Responses are summed per value of the factor first, so single rows meet neither the medians nor one task per group.
+    """
     by = keys(by)
     g = finite(F.col(f"`{factor}`"))
     rows = df.select(*by, g.alias("_g"), *[finite(F.col(f"`{c}`")).alias(c) for c in responses]).unpivot(
         by + ["_g"], responses, "response", "_v").filter(F.col("_g").isNotNull() & F.col("_v").isNotNull())
     cell = by + ["response"]
-    rows = with_table(rows, medians(rows, cell, {"_m": "_g"}), cell)
+    sums = rows.groupBy(*cell, "_g").agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    sums = with_table(sums, medians(sums, cell, {"_m": "_g"}, "_n"), cell)
     low = F.col("_g") <= F.col("_m")
-    return rows.groupBy(*cell).agg(F.avg(F.when(low, F.col("_v"))).alias("low_mean"),
-                                   F.avg(F.when(~low, F.col("_v"))).alias("high_mean"))
+    mean = lambda side: F.sum(F.when(side, F.col("_v"))) / F.sum(F.when(side, F.col("_n")))
+    return sums.groupBy(*cell).agg(mean(low).alias("low_mean"), mean(~low).alias("high_mean"))
 
 
 def mean_intervals(df: DataFrame, columns: list[str], by=None) -> DataFrame:

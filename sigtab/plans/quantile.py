@@ -19,9 +19,10 @@ def _has_long_group(df: DataFrame, by: list[str], limit: int) -> bool:
 
 
 def quantiles(df: DataFrame, by: list[str], values: dict[str, Column | str], probs: list[float],
-              limit: int | None = None) -> DataFrame:
+              limit: int | None = None, count: Column | str | None = None) -> DataFrame:
     """One row per series: for each name an array of the quantiles of that value at ``probs``.
 
+    ``count`` says how often a row counts.
     ``percentile`` keeps the distinct values of a group in one buffer; groups above the task limit
     go through counted distinct values and running totals instead, with the same result.
     """
@@ -29,12 +30,13 @@ def quantiles(df: DataFrame, by: list[str], values: dict[str, Column | str], pro
     cols = {n: as_col(v) for n, v in values.items()}
     if not _has_long_group(df, by, limit):
         marks = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*by).agg(*[F.percentile(c, marks).alias(n) for n, c in cols.items()])
+        times = F.lit(1) if count is None else as_col(count)
+        return df.groupBy(*by).agg(*[F.percentile(c, marks, times).alias(n) for n, c in cols.items()])
     out = None
     for name, col in cols.items():
         counts = (
-            df.select(*by, col.alias("_v")).filter(F.col("_v").isNotNull())
-            .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+            df.select(*by, col.alias("_v"), (F.lit(1) if count is None else as_col(count)).alias("_n")).filter(F.col("_v").isNotNull())
+            .groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
         )
         lay = lay_out(counts, by, ["_v"], limit)
         cum = lay.done(lay.scan({"_cum": ("sum", "_n")}))
@@ -62,8 +64,8 @@ def quantiles(df: DataFrame, by: list[str], values: dict[str, Column | str], pro
     return out
 
 
-def medians(df: DataFrame, by: list[str], values: dict[str, Column | str]) -> DataFrame:
-    table = quantiles(df, by, values, [0.5])
+def medians(df: DataFrame, by: list[str], values: dict[str, Column | str], count: Column | str | None = None) -> DataFrame:
+    table = quantiles(df, by, values, [0.5], count=count)
     return table.select(*by, *[F.get(F.col(n), F.lit(0)).alias(n) for n in values])
 
 

@@ -215,3 +215,28 @@ def test_two_way_anova_has_no_level_limit():
     rest = np.hstack([np.ones((len(ia), 1)), ea, (ea[:, :, None] * code[:, None, :]).reshape(len(ia), -1)]) * np.sqrt(n)[:, None]
     r = dev * np.sqrt(n) - rest @ np.linalg.lstsq(rest, dev * np.sqrt(n), rcond=None)[0]
     assert hyp._weighted_means(n, dev, ib, 7) == pytest.approx(float(r @ r), rel=1e-6)
+
+
+@pytest.mark.parametrize("limit", [1000, 5])
+def test_counted_quantiles(spark, limit):
+    from sigtab.plans.quantile import quantiles
+    rows = [(g, float(v), n) for g in (1, 2, None) for v, n in zip(range(12), [3, 1, 1, 7, 2, 1, 1, 1, 4, 1, 9, 2])]
+    df = spark.createDataFrame(rows, "g int, v double, n bigint").repartition(3)
+    got = {r["g"]: r["q"] for r in quantiles(df, ["g"], {"q": "v"}, [0.1, 0.5, 0.9], limit, "n").collect()}
+    for g in (1, 2, None):
+        whole = np.repeat([v for k, v, _ in rows if k == g], [n for k, _, n in rows if k == g])
+        np.testing.assert_allclose(got[g], np.quantile(whole, [0.1, 0.5, 0.9]))
+
+
+def test_interaction_means_sum_before_they_join(spark):
+    from sigtab.operators import distributions
+    df = spark.range(300).selectExpr("CAST(id % 3 AS INT) AS g", "CAST(id % 11 AS DOUBLE) AS f", "IF(id % 17 = 0, NULL, id * 0.5D) AS y").repartition(4)
+    means = distributions.interaction_means(df, "f", ["y"], "g")
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    side = plan[plan.index("Join"):].split("\n")[1]
+    assert "Aggregate" in side and "_g" in side  # what is joined are sums
+    pdf = df.toPandas().dropna()
+    for r in means.collect():
+        part = pdf[pdf["g"] == r["g"]]
+        low = part["f"] <= part["f"].median()
+        np.testing.assert_allclose([r["low_mean"], r["high_mean"]], [part["y"][low].mean(), part["y"][~low].mean()])
