@@ -152,7 +152,7 @@ def u3(t):
 @query("u3_source_files", "SELECT count(*) AS ok, 0::BIGINT AS failed, count(*) AS total FROM (SELECT DISTINCT o_orderpriority FROM orders)")
 def u3b(t):
     path = scratch(t, "files")
-    t.orders.repartition(1, "o_orderpriority").write.mode("overwrite").partitionBy("o_orderpriority").csv(path)
+    t.orders.repartition("o_orderpriority").write.mode("overwrite").partitionBy("o_orderpriority").csv(path)
     files = recipes.with_source(t.spark.read.schema("k bigint, c bigint, s string, y double, d string").csv(path))
     return recipes.count_status(recipes.analyse_sources(files, "source", lambda df, by: describe.kpi_table(df, ["y"], by).drop("column")))
 

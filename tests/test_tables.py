@@ -254,3 +254,17 @@ def test_short_series_share_groups(spark):
             j = max((j for j in range(i) if y[j] > v), default=None)
             between = y[(-1 if j is None else j) + 1:i]
             assert found[g, i] == (j, min(between) if len(between) else None)
+
+
+def test_source_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from __spark_entry__ import queries
+    spark.range(200).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus", "id * 1.5D AS o_totalprice", "'1995-01-01' AS o_orderdate",
+                                "nullif(concat(id % 5, '-PRIO'), '3-PRIO') AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr("catalog.models.scratch", lambda t, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these tables are too small to keep tasks apart
+    try:
+        assert tuple(queries()["u3_source_files"](spark, str(tmp_path)).first()) == (5, 0, 5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [p.name for p in tmp_path.glob("files/*/part-*.csv")]
+    assert len(files) == 5 and len({f[:10] for f in files}) > 1
