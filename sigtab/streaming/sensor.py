@@ -94,7 +94,10 @@ def to_channels(df: DataFrame, device: str, ts: str, seq: str, channels: list[st
 
 
 def _rows(batches) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+    parts = list(batches)
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
+    order = np.lexsort((pdf["seq"].to_numpy(), pdf["ts"].to_numpy()))
+    return pdf.take(order).reset_index(drop=True)
 
 
 def _linger(state: GroupState, idle_ms: int | None, last) -> None:
@@ -122,7 +125,7 @@ def moving_average(df: DataFrame, window: int, idle_ms: int | None = None) -> Da
         means[known] = (windows.sum(axis=1) / np.minimum(np.arange(1, len(seen) + 1), window))[len(kept):]
         state.update((seen[-window:].tolist(),))
         _linger(state, idle_ms, pdf["ts"].max())
-        pdf["average"] = pd.Series(means, dtype=object).where(known, None)
+        pdf["average"] = means  # not a number where the value is null, which Arrow turns into null
         yield pdf[["device", "channel", "ts", "seq", "value", "average"]]
 
     timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
