@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtab.functions import filters
 from sigtab.functions.numeric import div, finite, keys, x_number
-from sigtab.operators.joins import interpolate_join
 from sigtab.plans import recursive
+from sigtab.plans.batches import numbers
 from sigtab.plans.fft import lag_products
-from sigtab.plans.layout import cut_lineage, frame, join_by, lay_out, lend_borders, rows_per_task, with_index, with_stats, with_table
+from sigtab.plans.layout import BROADCAST_SERIES, cut_lineage, frame, join_by, lay_out, lend_borders, rows_per_task, with_index, with_stats, with_table
 from sigtab.plans.local import apply_local, fir
-from sigtab.plans.normeq import with_polynomial
-from sigtab.plans.quantile import medians, mid_ranks
+from sigtab.plans.quantile import bracketed_medians, medians, mid_ranks
 
 
 def moving_average(df: DataFrame, y: str, window: int = 25, by=None, order=None, name: str | None = None) -> DataFrame:
@@ -169,58 +170,107 @@ def autocorrelation(df: DataFrame, y: str, max_lag: int, by=None, order=None, no
     return with_table(total, zero, by).select(*by, "lag", F.when(F.col("_c0") > 0, F.col("corr") / F.col("_c0")).otherwise(F.col("corr")).alias("corr"))
 
 
+def _segments(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, x0, y0, x1, y1): each row with the next one of its series by ``x``; the last row of a series has no next one.
+
+    Rows of one x are ordered by ``_h``. The rows are sorted once and written; only the last rows of ranges are looked up afterwards.
+    """
+    lay = lay_out(df, by, ["x", "_h"])
+    w = lay.window()
+    rows = cut_lineage(lay.df.select(*lay.parts, F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"),
+                                     F.lag("x").over(w).isNull().alias("_first")))
+    if not lay.split:
+        return rows.drop("_first")
+    of_ranges = Window.partitionBy(*by).orderBy("_b")
+    heads = rows.filter("_first").select(*by, "_b", F.lead("x0").over(of_ranges).alias("x1"), F.lead("y0").over(of_ranges).alias("y1"))
+    tails = join_by(rows.filter("x1 IS NULL").select(*by, "_b", "x0", "y0"), heads, by + ["_b"])
+    return rows.filter("x1 IS NOT NULL").drop("_b", "_first").unionByName(tails.drop("_b"))
+
+
 def common_grid(a: DataFrame, b: DataFrame, x: str, y: str, by=None, step: float | None = None) -> DataFrame:
     """(by, g, a, b, dt): two series read by linear interpolation on the even grid of their overlap.
 
-    The step is the median of both median steps unless given; grids below 20 points are left out.
+    The step is the median of both median steps unless given; grids below 20 points are left out. Each pair of neighbouring rows
+    knows the grid points between them, so pairs without any are dropped and a block of the grid meets at most one pair per point and side.
     """
     by = keys(by)
-    sides = []
-    for df in (a, b):
-        rows = df.select(*by, x_number(df, x).alias("x"), finite(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-        fr = frame(rows, by, ["x", "y"], 1, 0)
-        steps = fr.own(fr.df.withColumn("_d", F.col("x") - F.lag("x").over(fr.window())))
-        ends = rows.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        sides.append((rows, with_table(ends, medians(steps, by, {"dt": "_d"}), by)))
-    (ra, ta), (rb, tb) = sides
+    sides = by + ["_side"]
+    rows = [df.select(*by, F.lit(i).alias("_side"), x_number(df, x).alias("x"), finite(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL") for i, df in enumerate((a, b))]
+    pairs = _segments(rows[0].unionByName(rows[1]).withColumn("_h", F.xxhash64(*by, "x", "y")), sides)
+    table = cut_lineage(pairs.groupBy(*sides).agg(F.min("x0").alias("lo"), F.max("x0").alias("hi"), F.count(F.lit(1)).alias("_rows")))
+    series, total = table.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    few = series <= BROADCAST_SERIES
+    if step is None:
+        steps = pairs.select(*sides, (F.col("x1") - F.col("x0")).alias("_d"))
+        found = bracketed_medians(steps, sides, "_d", few) if (total or 0) > rows_per_task(a.sparkSession) else medians(steps, sides, {"_d": "_d"})
+        table = with_table(table, found.withColumnRenamed("_d", "dt"), sides)
+    else:
+        table = table.withColumn("dt", F.lit(float(step)))
+    ta, tb = [table.filter(F.col("_side") == i).drop("_side", "_rows") for i in (0, 1)]
     tb = tb.select(*by, *[F.col(c).alias(f"{c}2") for c in ("lo", "hi", "dt")])
     both = join_by(ta, tb, by, "inner") if by else with_table(ta, tb, [])
     dt = (F.coalesce("dt", F.lit(1.0)) + F.coalesce("dt2", F.lit(1.0))) / 2 if step is None else F.lit(float(step))
     both = both.select(*by, F.greatest("lo", "lo2").alias("_s"), F.least("hi", "hi2").alias("_e"), dt.alias("dt"))
-    both = both.filter("_e > _s AND dt > 0").withColumn("_n", F.ceil((F.col("_e") - F.col("_s")) / F.col("dt"))).filter("_n >= 20")
-    block = 65_536
-    grid = both.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))))
-    grid = grid.withColumn("g", F.explode(F.sequence(F.col("_k") * block, F.least((F.col("_k") + 1) * block, F.col("_n")) - 1)))
-    grid = grid.select(*by, "g", "dt", (F.col("_s") + F.col("g") * F.col("dt")).alias("_x"))
-    grid = interpolate_join(grid, ra.select(*by, F.col("x").alias("_xa"), F.col("y").alias("a")), "_x", "_xa", ["a"], by)
-    grid = interpolate_join(grid, rb.select(*by, F.col("x").alias("_xb"), F.col("y").alias("b")), "_x", "_xb", ["b"], by)
-    return grid.select(*by, "g", "a", "b", "dt")
+    both = both.filter("_e > _s AND dt > 0").withColumn("_n", F.ceil((F.col("_e") - F.col("_s")) / F.col("dt"))).filter("_n >= 20").drop("_e")
+    both = cut_lineage(both)
+    work = join_by(pairs, F.broadcast(both) if few else both, by, "inner") if by else pairs.join(F.broadcast(both))
+    point = lambda g: F.col("_s") + g * F.col("dt")
+
+    def first_at(at):
+        """The first grid point at or after ``at``; depends on ``at`` alone, so neighbouring pairs neither share nor miss a point."""
+        g = F.ceil(F.greatest(F.lit(-2.0), F.least((at - F.col("_s")) / F.col("dt"), F.col("_n") + 2.0)))
+        g = F.when(point(g - 1) >= at, g - 1).when(point(g) < at, g + 1).otherwise(g)
+        return F.least(F.greatest(g, F.lit(0)), F.col("_n"))
+
+    block = min(65_536, rows_per_task(a.sparkSession))
+    work = work.withColumns({"_from": first_at(F.col("x0")), "_to": F.coalesce(first_at(F.col("x1")), F.col("_n"))}).filter("_from < _to")
+    work = work.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
+
+    def fill(t: pa.Table) -> pa.Table:
+        c, n, s, dt = (t[k][0].as_py() for k in ("_c", "_n", "_s", "dt"))
+        g = np.arange(c * block, min((c + 1) * block, n))
+        at, out = s + g * dt, []
+        for side in (0, 1):
+            own = t.filter(pc.equal(t["_side"], side)).sort_by("_from")
+            pick = np.searchsorted(numbers(own, "_from", np.int64), g, "right") - 1
+            x0, y0, x1, y1 = (numbers(own, k)[pick] for k in ("x0", "y0", "x1", "y1"))
+            out.append(np.where(np.isnan(x1) | (at == x0), y0, y0 + (y1 - y0) * ((at - x0) / (x1 - x0))))
+        own = t.select(by).take(pa.array(np.zeros(len(g), np.int64)))
+        return pa.table([*own.columns, g, *out, np.full(len(g), dt)], names=[*by, "g", "a", "b", "dt"])
+
+    head = "".join(f"`{k}` {work.schema[k].dataType.simpleString()}, " for k in by)
+    return work.select(*sides, "_c", "_n", "_s", "dt", "_from", "x0", "y0", "x1", "y1").groupBy(*by, "_c").applyInArrow(fill, head + "g bigint, a double, b double, dt double")
 
 
 def cross_correlation(a: DataFrame, b: DataFrame, x: str, y: str, max_lag: float, by=None, step: float | None = None,
                       detrend: str = "none", scale: str = "none") -> DataFrame:
     """(by, lag, corr, points): Pearson correlation of two series per lag, positive when ``a`` follows.
 
-    Lags reach ``max_lag`` in units of x. Sums are taken per chunk of grid rows.
+    Lags reach ``max_lag`` in units of x. Sums are taken per chunk of grid rows. The grid is written once; trend and scale are
+    aggregates of it that return as one small table each.
     """
     by = keys(by)
     grid = cut_lineage(common_grid(a, b, x, y, by, step))
-    for c in ("a", "b"):
-        if detrend == "linear":
-            grid = with_polynomial(grid, F.col("g").cast("double"), F.col(c), 1, by, "_t").withColumn(c, F.col(c) - F.col("_t")).drop("_t")
-        if scale == "zscore":
-            grid = with_stats(grid, by, {"_m": F.avg(c), "_s": F.stddev_pop(c)}).withColumn(c, (F.col(c) - F.col("_m")) / (F.col("_s") + 1e-12)).drop("_m", "_s")
-        elif scale == "minmax":
-            grid = with_stats(grid, by, {"_m": F.min(c), "_s": F.max(c)}).withColumn(c, (F.col(c) - F.col("_m")) / (F.col("_s") - F.col("_m") + 1e-12)).drop("_m", "_s")
-    if detrend != "none" or scale != "none":
-        grid = cut_lineage(grid)
-    steps = grid.groupBy(*by).agg(F.max((F.lit(abs(float(max_lag))) / F.col("dt")).cast("bigint")).alias("_kmax"))
-    reach, limit = int(steps.agg(F.max("_kmax")).first()[0] or 0), rows_per_task(grid.sparkSession)
-    grid, far = with_table(grid, steps, by), None
+    trend = {f"_{k}{c}": fn(c, "g") for c in ("a", "b") for k, fn in (("i", F.regr_intercept), ("s", F.regr_slope))} if detrend == "linear" else {}
+    kmax = F.max((F.lit(abs(float(max_lag))) / F.col("dt")).cast("bigint"))
+    shape = cut_lineage(grid.groupBy(*by).agg(kmax.alias("_kmax"), F.count(F.lit(1)).alias("_n"), *[e.alias(k) for k, e in trend.items()]))
+    reach, series = shape.agg(F.max("_kmax"), F.count(F.lit(1))).first()
+    reach, limit = int(reach or 0), rows_per_task(grid.sparkSession)
+    small = F.broadcast if series <= BROADCAST_SERIES else lambda table: table
+    grid = with_table(grid, small(shape), by)
+    if trend:
+        grid = grid.withColumns({c: F.col(c) - (F.col(f"_i{c}") + F.col(f"_s{c}") * F.col("g")) for c in ("a", "b")}).drop(*trend)
+    if scale in ("zscore", "minmax"):
+        low, high = (F.avg, F.stddev_pop) if scale == "zscore" else (F.min, F.max)
+        ends = cut_lineage(grid.groupBy(*by).agg(*[fn(c).alias(f"_{k}{c}") for c in ("a", "b") for k, fn in (("m", low), ("w", high))]))
+        grid = with_table(grid, small(ends), by)
+        width = lambda c: F.col(f"_w{c}") if scale == "zscore" else F.col(f"_w{c}") - F.col(f"_m{c}")
+        grid = grid.withColumns({c: (F.col(c) - F.col(f"_m{c}")) / (width(c) + 1e-12) for c in ("a", "b")}).drop("_ma", "_mb", "_wa", "_wb")
+    far = None
     if reach > limit:
-        sized = with_stats(grid, by, {"_n": F.count(F.lit(1))})
-        far = _far_lags(sized.filter(F.col("_n") > limit), by)
-        grid, reach = sized.filter(F.col("_n") <= limit).drop("_n"), limit  # these have no longer lag
+        far = _far_lags(grid.filter(F.col("_n") > limit), by)
+        grid, reach = grid.filter(F.col("_n") <= limit), limit  # these have no longer lag
+    grid = grid.drop("_n")
     lent = lend_borders(grid, max(limit, reach), reach, reach, "g")
     head = "".join(f"`{k}` {grid.schema[k].dataType.simpleString()}, " for k in by)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtab.functions.numeric import as_col
-from sigtab.plans.layout import join_by, lay_out, rows_per_task, with_table
+from sigtab.plans.layout import cut_lineage, join_by, lay_out, rows_per_task, with_table
 
 
 def _has_long_group(df: DataFrame, by: list[str], limit: int) -> bool:
@@ -69,6 +69,30 @@ def medians(df: DataFrame, by: list[str], values: dict[str, Column | str], count
     return table.select(*by, *[F.get(F.col(n), F.lit(0)).alias(n) for n in values])
 
 
+def bracketed_medians(df: DataFrame, by: list[str], value: str, few: bool) -> DataFrame:
+    """One row per series with the exact median of ``value``, by two aggregates over the rows of a long table and no sort of them.
+
+    A sketch gives two values close around the median. What lies below them is counted, and only the distinct values between
+    them are ordered. Should the sketch have missed the median of any series, all are taken by ``medians``.
+    ``few`` says that a table with one row per series may be broadcast. ``df`` is read several times.
+    """
+    rows = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    rough = cut_lineage(rows.groupBy(*by).agg(F.percentile_approx("_v", [0.4995, 0.5005], 10_000).alias("_q"), F.count(F.lit(1)).alias("_size")))
+    near = with_table(rows, F.broadcast(rough) if few else rough, by)
+    below, inside = F.col("_v") < F.get("_q", F.lit(0)), F.col("_v") <= F.get("_q", F.lit(1))
+    near = near.groupBy(*by, F.when(~below & inside, F.col("_v")).alias("_v"), below.alias("_below")).agg(F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"))
+    near = cut_lineage(near.filter(F.col("_below") | F.col("_v").isNotNull()))  # the values below share one row
+    upto = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())
+    cum = near.withColumn("_cum", F.sum("_n").over(upto))
+    at = (F.col("_size") - 1) * 0.5
+    lo, hi = [F.min(F.when(~F.col("_below") & (F.col("_cum") > fn(at)), F.col("_v"))) for fn in (F.floor, F.ceil)]
+    missed = F.coalesce(F.sum(F.when(F.col("_below"), F.col("_n"))), F.lit(0)) > F.min(F.floor(at))
+    out = cum.groupBy(*by).agg(lo.alias("_lo"), hi.alias("_hi"), F.min(at - F.floor(at)).alias("_f"), missed.alias("_missed"))
+    if not out.filter(F.col("_missed") | F.col("_lo").isNull() | F.col("_hi").isNull()).isEmpty():
+        return medians(df, by, {value: value})
+    return out.select(*by, (F.col("_lo") * (1 - F.col("_f")) + F.col("_hi") * F.col("_f")).alias(value))
+
+
 def mid_ranks(df: DataFrame, by: list[str], value: Column | str, weights: dict[str, Column]) -> DataFrame:
     """Distinct values of each family with their mid-rank and tie count.
 

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sigtab.plans import quantile
 from sigtab.plans.layout import frame, lay_out, with_index, with_stats
 from sigtab.plans.quantile import mid_ranks, quantiles
 
@@ -86,3 +87,20 @@ def test_stats_and_index(spark):
     out = with_stats(df, [], {"mu": F.avg("t")}).agg(F.min("mu"), F.max("mu")).first()
     assert out[0] == out[1] == pytest.approx(299.5)
     assert with_index(df, ["g"], ["t"]).filter("row_index = 0").count() == 4
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_bracketed_medians(spark, few, monkeypatch):
+    """Odd and even counts, ties, one value, nulls and a null key; also where the sketch has missed."""
+    rng = np.random.default_rng(2)
+    groups = {"odd": rng.standard_normal(901), "even": rng.standard_normal(900).cumsum(), "ties": rng.integers(0, 3, 500).astype(float),
+              "split": np.repeat([1.0, 4.0], 50), "one": np.array([7.5]), None: rng.exponential(1.0, 30_000)}
+    pdf = pd.concat([pd.DataFrame({"s": k, "d": np.append(v, np.nan)}) for k, v in groups.items()])
+    df = spark.createDataFrame(pdf).withColumn("d", F.when(~F.isnan("d"), F.col("d"))).repartition(4)
+    for missed in (False, True):
+        if missed:
+            monkeypatch.setattr(quantile.F, "percentile_approx", lambda c, *_: F.array(F.max(c), F.max(c)))
+        got = {r["s"]: r["d"] for r in quantile.bracketed_medians(df, ["s"], "d", few).collect()}
+        assert got.keys() == groups.keys()
+        for k, v in groups.items():
+            assert got[k] == np.median(v)

@@ -257,6 +257,77 @@ def test_cross_correlation_finds_shift(spark):
     assert raw == pytest.approx(np.corrcoef(p, q)[0, 1], abs=1e-9)
 
 
+def test_common_grid_with_repeats_and_gaps(spark, monkeypatch):
+    """Many rows at one time, a long gap, series of one side only and a null key, whole and in chunks of 120 rows, against NumPy."""
+    rng = np.random.default_rng(3)
+
+    def rows(s, start, n):
+        x = np.round(start + np.cumsum(rng.exponential(1.0, n)), 3)
+        x[n // 2:] += 400.0
+        x[n // 4: n // 4 + 130] = x[n // 4]
+        return pd.DataFrame({"s": s, "x": np.concatenate([x, [np.nan, 5.0]]), "y": np.concatenate([rng.standard_normal(n), [1.0, np.inf]])})
+
+    a = pd.concat([rows("p", 0.0, 700), rows(None, -50.0, 300), rows("a only", 0.0, 40), rows("few", 0.0, 3)])
+    b = pd.concat([rows("p", 20.0, 500), rows(None, 3.0, 450), rows("b only", 0.0, 40)])
+    sa, sb = [spark.createDataFrame(d).repartition(3) for d in (a, b)]
+    whole, cut = both(spark, lambda: signal.common_grid(sa, sb, "x", "y", "s"))
+    monkeypatch.setattr(signal, "BROADCAST_SERIES", 0)
+    joined = both(spark, lambda: signal.common_grid(sa, sb, "x", "y", "s"))[1]
+    for got in (cut, joined):
+        for c in ("g", "a", "b", "dt"):
+            check(whole.fillna({"s": ""}), got.fillna({"s": ""}), ["s", "g"], c, 0)
+    assert set(whole.s.fillna("")) == {"p", ""}
+    for s in ("p", ""):
+        got, sides = whole[whole.s.fillna("") == s].sort_values("g"), []
+        for d in (a, b):
+            d = d[(d.s.fillna("") == s) & np.isfinite(d.x) & np.isfinite(d.y)]
+            sides.append(d.sort_values("x", kind="stable"))
+        dt = np.mean([np.median(np.diff(d.x)) for d in sides])
+        lo, hi = max(d.x.min() for d in sides), min(d.x.max() for d in sides)
+        n = int(np.ceil((hi - lo) / dt))
+        assert got.g.tolist() == list(range(n)) and got["dt"].to_numpy() == pytest.approx(dt)
+        at = lo + np.arange(n) * got["dt"].iloc[0]
+        for c, d in zip("ab", sides):
+            many = d.x.value_counts().idxmax()  # any of the rows of one time may be the one read there
+            before, after = d.x[d.x < many].max(), d.x[d.x > many].min()
+            apart = (at <= before) | (at >= after)
+            np.testing.assert_allclose(got[c].to_numpy()[apart], np.interp(at, d.x, d.y)[apart], atol=1e-9)
+
+
+def test_cross_correlation_reads_its_input_a_few_times(spark):
+    """The input is counted, sampled and then sorted once; trend, scale and lags only read what was written."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"s": ["p", "q"] * 400, "x": np.arange(800) / 2 + rng.random(800) / 4, "y": rng.standard_normal(800)})
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for d in batches:
+            seen.add(len(d))
+            yield d
+
+    df = spark.createDataFrame(pdf).mapInPandas(count, "s string, x double, y double")
+    whole, cut = both(spark, lambda: signal.cross_correlation(df, df.withColumn("y", F.col("y") + 1), "x", "y", 20.0, "s", None, "linear", "zscore"))
+    check(whole, cut, ["s", "lag"], "corr")
+    assert len(whole) > 80
+    assert 0 < seen.value <= 2 * len(pdf) * (2 + 5)  # a sample that is sorted reads twice
+
+
+@pytest.mark.parametrize("scale", ["none", "zscore", "minmax"])
+def test_trend_and_scale_leave_the_correlation(spark, scale):
+    """Scaling changes no correlation; a trend is taken off both sides before."""
+    rng = np.random.default_rng(6)
+    n = 300
+    a, b = rng.standard_normal(n) + 0.05 * np.arange(n) + 1e6, rng.standard_normal(n) - 0.1 * np.arange(n)
+    sa, sb = [spark.createDataFrame(pd.DataFrame({"x": np.arange(n, dtype=float), "y": v})) for v in (a, b)]
+    whole, cut = both(spark, lambda: signal.cross_correlation(sa, sb, "x", "y", 5.0, None, None, "linear", scale))
+    check(whole, cut, ["lag"], "corr", 1e-8)
+    m, g = n - 1, np.arange(n - 1.0)
+    p, q = [v[:m] - np.polyval(np.polyfit(g, v[:m], 1), g) for v in (a, b)]
+    for k in (-4, 0, 3):
+        u, v = (p[k:], q[: m - k]) if k >= 0 else (p[:k], q[-k:])
+        assert whole[whole.lag == k]["corr"].iloc[0] == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-8)
+
+
 @pytest.mark.parametrize("by", [None, "s"])
 def test_lags_longer_than_a_chunk(spark, by):
     """Chunks hold 120 rows; lags reach 500 and beyond the series."""
