@@ -5,9 +5,11 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog import common
 from sigtab.functions import units
 from sigtab.operators import clean, derive, joins, matrix, peaks, recipes, rows
 from sigtab.plans.banded import als_baseline
@@ -268,3 +270,35 @@ def test_source_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = [p.name for p in tmp_path.glob("files/*/part-*.csv")]
     assert len(files) == 5 and len({f[:10] for f in files}) > 1
+
+
+@pytest.mark.parametrize("sizes", [(30, 70), (70, 30)])
+def test_merge_writes_pairs_from_packs(spark, tiny_tasks, monkeypatch, sizes):
+    monkeypatch.setattr(joins, "PACK", 3, raising=False)  # the side with fewer rows is packed, here the left one and then the right one
+    keys = [0.0, -0.0, None, float("nan")]  # equal keys keep their own sign; rows come twice
+    lt = [(keys[i % 4], i // 2, [i // 2, None], {"m": i // 2}) for i in range(sizes[0])] + [(7.5, -1, None, None)] * 2
+    rt = [(keys[i % 4], None if i % 5 == 0 else i // 2, (i // 2, "s")) for i in range(sizes[1])] + [(7.5, -2, None)] * 2
+    left = spark.createDataFrame(lt, "k double, `a.b` int, l array<int>, m map<string,int>").repartition(3)
+    right = spark.createDataFrame(rt, "n double, `c d` int, s struct<x:int,y:string>").repartition(3)
+    joined = joins.merge(left, right, "k", "n")
+    assert joined.columns == ["k", "a.b", "l", "m", "n", "c d", "s"]
+    equal = lambda a, b: a == b or (a != a and b != b)
+    want = [Row(*a, *b) for a in left.collect() for b in right.collect() if equal(a[0], b[0])]
+    assert sorted(repr(tuple(r)) for r in joined.collect()) == sorted(repr(tuple(r)) for r in want)
+    assert "inline(" in joined._jdf.queryExecution().optimizedPlan().toString()  # no join makes a row for each pair
+
+
+def test_rounding_without_decimals(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    far = rng.normal(size=4000) * 10.0 ** rng.integers(-9, 12, 4000)
+    halves = (rng.integers(-(10**7), 10**7, 4000) + 0.5) / 10.0 ** rng.integers(0, 13, 4000)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -1e-9, 1.7e308, -1e18, 2.5, -0.5, 1e12, 999999.9999995, 0.285, 1.005]
+    values = [*map(float, far), *map(float, halves), *map(float, np.nextafter(halves, np.inf)), *map(float, np.nextafter(halves, -np.inf)), *odd]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for d in (0, 2, 6, 9, 12):
+        got, want = common.rounded(df, d), df.select((F.round("v", d) + F.lit(0.0)).alias("v"))
+        assert got.schema["v"].dataType == want.schema["v"].dataType
+        assert [repr(r.v) for r in got.collect()] == [repr(r.v) for r in want.collect()]
+    monkeypatch.setattr(common.F, "round", lambda x, d: F.lit(None).cast("double"))
+    plain = df.filter(F.abs("v") < 1e5).filter(F.abs(F.col("v") * 1e6 - F.floor(F.col("v") * 1e6) - 0.5) > 0.01)
+    assert plain.count() > 1000 and common.rounded(plain, 6).filter("v IS NULL").count() == 0  # decimals only for what may lie half way
